@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillrank.functions.tables import table
-from quillrank.llm import calibrated_sample, encoding, near_duplicates, packing, rank_fusion, reading_level
+from quillrank.llm import calibrated_sample, canonical, encoding, name_links, near_duplicates, packing, rank_fusion, reading_level
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,8 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": name_links.p3_found,
+    "p3_organisations": name_links.p3_organisations,
     "p4_found": calibrated_sample.p4_found,
     "p4_strata": calibrated_sample.p4_strata,
     "p4_sample": calibrated_sample.p4_sample,
@@ -20,6 +22,7 @@ QUERIES = {
     "p5_groups": near_duplicates.p5_groups,
     "p6_found": rank_fusion.p6_found,
     "p6_significance": rank_fusion.p6_significance,
+    "p7_found": canonical.p7_found,
     "p8_ids": p8_ids,
     "p9_found": packing.p9_found,
     "p9_fill": packing.p9_fill,

@@ -50,6 +50,11 @@ def _known(field: str) -> tuple[Trie, dict[str, str]]:
     return Trie(words), words
 
 
+@lru_cache(None)
+def _short(field: str) -> Trie:
+    return Trie(s for s in SHORT_FORMS[field] if len(s) >= 4)
+
+
 @lru_cache(1 << 16)
 def kind_word(token: str, field: str) -> str | None:
     """The kind word a token is, misspelt or cut short, or None."""
@@ -68,7 +73,7 @@ def kind_word(token: str, field: str) -> str | None:
         if short:
             return min(short, key=lambda w: (not w.startswith(token), len(w)))
     if n >= 4:
-        near = sorted((d, w) for s, w in SHORT_FORMS[field].items() if len(s) >= 4 for _, d in Trie([s]).near(token, 1))
+        near = sorted((d, SHORT_FORMS[field][s]) for s, d in _short(field).near(token, 1))
         if near:
             return near[0][1]
     if n >= 5 and sum(c in "aeiou" for c in token) <= 1:
