@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -13,21 +14,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share for checkpoints.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where it is unset, a temporary
-    folder is used, which is only right while driver and executors share one machine, so any other
-    master is refused.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is
+    used, which is only right while driver and executors share one machine, so any other master is refused.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None:
-            if not context.master.startswith("local["):
+            if not re.match(r"local(\[|$)", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="quillrank-")
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from what was written."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from quillrank.plans import employment, nested_tables
+from quillrank.plans import employment, labels, nested_tables, records, search, warehouse
+
+_PAIRS = {**search.QUERIES, **records.QUERIES, **labels.QUERIES, **warehouse.QUERIES}
 
 QUERIES = {
     "p1_found": nested_tables.p1_found,
     "p2_found": employment.p2_found,
     "p2_order_periods": employment.customer_order_periods,
+    **{name: query for name, (query, _) in _PAIRS.items()},
 }
 
 SQL = {
     "p2_found": employment.P2_SQL,
     "p2_order_periods": employment.ORDER_PERIODS_SQL,
+    **{name: sql for name, (_, sql) in _PAIRS.items() if sql},
 }
