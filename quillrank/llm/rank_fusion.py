@@ -19,35 +19,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillrank.functions.tables import table
+from quillrank.operators.ranking import upper_shares
 
 SCORES = ["bm25_score", "sim_ideal_max", "behavioral_composite"]
 TOP = 10
 
 
-def _slice(score: Column) -> Column:
-    """A number that grows with the score, of about 64 steps for each doubling."""
-    size = F.when(F.abs(score) < 1e-300, F.lit(0.0)).otherwise((F.log2(F.abs(score)) + 1000) * 64)
-    return F.floor(F.when(score < 0, -size).otherwise(size))
-
-
-def upper_shares(df: DataFrame, group: list[str], item: str, score: str) -> DataFrame:
-    """``group``, ``item`` and ``share``: of the group's items, the part that scores at least as high.
-
-    Null and NaN scores are worst and share 1. Ties share one value.
-    """
-    good = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score)))
-    counts = good.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n")).withColumn("_slice", _slice(F.col(score)))
-    slices = counts.groupBy(*group, "_slice").agg(F.sum("_n").alias("_in"))
-    above = W.partitionBy(*group).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
-    slices = slices.select(*group, "_slice", F.coalesce(F.sum("_in").over(above), F.lit(0)).alias("_above"))
-    within = W.partitionBy(*group, "_slice").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = counts.withColumn("_run", F.sum("_n").over(within)).join(slices, [*group, "_slice"]).select(*group, score, (F.col("_above") + F.col("_run")).alias("_rank"))
-    totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_all"))
-    null_safe = reduce(lambda a, b: a & b, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*group, score]))
-    joined = df.alias("a").join(ranked.alias("b"), null_safe, "left").select(*(F.col(f"a.{c}") for c in [*group, item]), F.col("b._rank"))
-    return joined.join(totals, group).select(*group, item, F.coalesce(F.col("_rank") / F.col("_all"), F.lit(1.0)).alias("share"))
-
-
 def order_statistic_probability(x: Column, k: int, m: int) -> Column:
     """P(the k-th smallest of m uniform values is at most x): the Beta(k, m - k + 1) distribution function."""
     terms = [F.lit(float(comb(m, j))) * F.pow(x, F.lit(j)) * F.pow(1 - x, F.lit(m - j)) for j in range(k, m + 1)]
