@@ -57,3 +57,18 @@ def index_text() -> Column:
 def half_even(x: Column) -> Column:
     """A number as a whole-number text, halves to the even side."""
     return F.bround(x, 0).cast("bigint").cast("string")
+
+
+def rerank_passage(limit: int = 512) -> Column:
+    """Summary, headline and the first three descriptions, 200 characters of each, cut to ``limit``."""
+    first = F.transform(F.slice(entries("career_history"), 1, 3), lambda j: F.substring(j["description"], 1, 200))
+    return F.substring(F.concat_ws(" ", "profile.summary", "profile.headline", first), 1, limit)
+
+
+def labelling_payload() -> Column:
+    """JSON of what a labeller sees: short summary, four jobs, five most endorsed skills, two schools."""
+    jobs = F.transform(F.slice(entries("career_history"), 1, 4), lambda j: F.struct(j["title"].alias("title"), j["company"].alias("company"), j["industry"].alias("industry"), j["duration_months"].alias("duration_months"), F.substring(j["description"], 1, 200).alias("description")))
+    ranked = F.array_sort(F.transform(entries("skills"), lambda s, i: F.struct((-F.coalesce(s["endorsements"], F.lit(0))).alias("o"), i.alias("i"), s["name"].alias("name"), s["proficiency"].alias("proficiency"), s["endorsements"].alias("endorsements"))))
+    best = F.transform(F.slice(ranked, 1, 5), lambda s: F.struct(s["name"].alias("name"), s["proficiency"].alias("proficiency"), s["endorsements"].alias("endorsements")))
+    schools = F.transform(F.slice(entries("education"), 1, 2), lambda e: F.struct(e["degree"].alias("degree"), e["field_of_study"].alias("field_of_study"), e["institution"].alias("institution")))
+    return F.to_json(F.struct("candidate_id", F.col("profile.current_title").alias("current_title"), F.col("profile.years_of_experience").alias("years_of_experience"), F.substring("profile.summary", 1, 400).alias("summary"), jobs.alias("career"), best.alias("skills_top5"), schools.alias("education")))
