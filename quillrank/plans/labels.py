@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillrank.functions import config as C
-from quillrank.functions.tables import table
+from quillrank.functions.tables import checkpoint, table
 from quillrank.operators import metrics, ranking
 
 MEASURES = ["sim_ideal_max", "bm25_score", "behavioral_composite", "skill_evidence_ratio"]
@@ -110,18 +110,20 @@ def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     A candidate goes to the first stratum that takes it. Each stratum is a top-k by a seeded hash of the
     candidates not drawn so far: one anti-join with at most quota times strata ids, broadcast by that bound.
     """
-    units = _labels(spark, sf_dir).where("candidate_id is not null").select("candidate_id", _folded().alias("stratum")).distinct()
+    units = checkpoint(_labels(spark, sf_dir).where("candidate_id is not null").select("candidate_id", _folded().alias("stratum")).distinct())
     drawn = None
     for name in STRATA:
         pool = units.where(F.col("stratum") == name)
         if drawn is not None:
             pool = pool.join(F.broadcast(drawn.select("candidate_id")), "candidate_id", "left_anti")
         part = pool.select("candidate_id", F.lit(name).alias("stratum"), F.md5(F.concat("candidate_id", F.lit("|"), F.lit(name), F.lit("|42"))).alias("_h")).orderBy("_h", "candidate_id").limit(C.QUOTA).drop("_h")
+        # At most a quota of rows; kept, so that a later stratum does not draw the earlier ones again.
+        part = checkpoint(part)
         drawn = part if drawn is None else drawn.unionByName(part)
     return drawn
 
 
-STRATA = ["tier1_education", "honeypot_flagged", "consulting_only"]
+STRATA = ["top_retrieval_bm25", "top_retrieval_dense", "top_anti_persona_sim", "title_match_strong", "title_mismatch", "consulting_only", "honeypot_flagged", "high_behavioral", "low_behavioral", "tier1_education", "random"]
 
 
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +195,7 @@ n AS (SELECT search_id,
   coalesce(sum((pow(2.0::DOUBLE, label) - 1) / log2(k + 1)) FILTER (k <= 50), 0) / nullif(sum((pow(2.0::DOUBLE, label) - 1) / log2(b + 1)) FILTER (b <= 50), 0) AS n50 FROM j GROUP BY 1)"""
 _FOLD = "trim(regexp_replace(lower(stratum), '[^a-z0-9]+', '_', 'g'), '_')"
 _QUOTA_SQL = f"WITH u AS (SELECT DISTINCT candidate_id, {_FOLD} AS stratum FROM label_results WHERE candidate_id IS NOT NULL)" + "".join(
-    f", d{k} AS (SELECT candidate_id, stratum FROM u WHERE stratum = '{s}'" + "".join(f" AND candidate_id NOT IN (SELECT candidate_id FROM d{i})" for i in range(k)) + f" ORDER BY md5(candidate_id || '|{s}|42'), candidate_id LIMIT {C.QUOTA})" for k, s in enumerate(STRATA)
+    f", d{k} AS MATERIALIZED (SELECT candidate_id, stratum FROM u WHERE stratum = '{s}'" + "".join(f" AND candidate_id NOT IN (SELECT candidate_id FROM d{i})" for i in range(k)) + f" ORDER BY md5(candidate_id || '|{s}|42'), candidate_id LIMIT {C.QUOTA})" for k, s in enumerate(STRATA)
 ) + " " + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(len(STRATA)))
 
 QUERIES = {
