@@ -207,7 +207,12 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every typed value that is not exactly a label, with the entry it means or 0."""
+    """Every typed value that is not exactly a label, with the entry it means or 0.
+
+    Null and blank values and null lists or entries give no row (entries still count for the place of later
+    ones); records given twice come out twice; of entries that fit equally the one with the least ref_id is
+    taken; without any reference entry every value gets 0; an empty table gives no rows.
+    """
     reference = table(spark, sf_dir, "canonical_values")
     entries = collected(reference)
     labels = [label for e in entries.values() for _, label in e]

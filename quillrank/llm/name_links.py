@@ -156,7 +156,11 @@ def typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of different spellings of one organisation."""
+    """Every pair of different spellings of one organisation.
+
+    Null and blank texts and null lists or entries are no spellings; a text on many rows is one spelling; very
+    long texts are parsed whole; an empty table gives no pairs. No other column of the table is read.
+    """
     linked = checkpoint(linked_names(typed_names(spark, sf_dir)))
     a, b = linked.withColumnRenamed("name", "name_a"), linked.withColumnRenamed("name", "name_b")
     return a.join(b, ["field_name", "organisation"]).where("name_a < name_b").select("field_name", "name_a", "name_b")

@@ -219,7 +219,11 @@ def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different candidates with similar texts, the smaller id first."""
+    """Pairs of different candidates with similar texts, the smaller id first.
+
+    Texts of fewer than MIN_WORDS words (null and empty ones too) are in no pair; a candidate delivered twice
+    is one candidate; texts are taken whole, however long; an empty table gives no pairs.
+    """
     members, pairs = _linked(spark, sf_dir)
     a, b = (members.select(F.col("class_id").alias(k), F.col("candidate_id").alias(f"candidate_{k}")) for k in "ab")
     across = pairs.select("a", "b").join(a, "a").join(b, "b")

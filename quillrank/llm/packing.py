@@ -160,7 +160,7 @@ def document_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that the packing had to cut for the window ``teacher_prompt``."""
+    """Documents that the packing had to cut for the window ``teacher_prompt``; empty tables give none."""
     window = table(spark, sf_dir, "context_windows").where("window_name = 'teacher_prompt'").select("window_id")
     cut = document_containers(spark, sf_dir).where("part_no = 1").join(F.broadcast(window), "window_id", "left_semi")
     return cut.select("doc_id")

@@ -5,7 +5,7 @@ taken from the top of that list, that covers ``COVERED`` of its words. With word
 per word it makes three measures, whose mean in each band, and common mean deviation, come from the graded
 texts. A text gets the band with the least sum of deviations; absolute values keep one odd measure (a text
 without full stops) from deciding alone. Everything is declared in SQL; the list of words is only broadcast
-where the engine finds it small.
+where it is short, which is counted first.
 
 The rank is counted from the number of words of each count, a table of at most sqrt(2 * words) rows, so no
 task orders the whole vocabulary. Words of one count share the last rank among them; unseen words come after
@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillrank.functions.tables import table
+from quillrank.functions.tables import checkpoint, table
 
 COVERED = 0.9
 MIN_CHARS = 300
+#: About 20 MB; a longer list of words is joined by a shuffle.
+MAX_BROADCAST_WORDS = 200_000
 MEASURES = ["coverage", "sentence", "letters"]
 MARKUP, WORD, STOP = r"<[^<>]*>", r"\p{L}+(?:'\p{L}+)?", r"[.!?;]+(\s|\p{Lu}|$)|\n+"
 
@@ -40,14 +42,15 @@ def word_ranks(texts: DataFrame) -> DataFrame:
     return counts.join(ranks, "_n").select("word", "rank", "last")
 
 
-def measured(texts: DataFrame, ranks: DataFrame, key: str) -> DataFrame:
+def measured(texts: DataFrame, ranks: DataFrame, key: str, few_words: bool = False) -> DataFrame:
     """``key`` and the three measures of each text that has a word; texts without one are left out."""
     stops = F.size(F.regexp_extract_all(F.regexp_replace("text", MARKUP, " "), F.lit(STOP), F.lit(0)))
     # Stops are counted once a text, below the explode.
     split = texts.where("text is not null").select(key, F.greatest(F.lit(1), stops).alias("_stops"), _words().alias("_all"))
     each = split.select(key, "_stops", F.explode("_all").alias("word"))
     last = ranks.agg(F.coalesce(F.max("last"), F.lit(1)).alias("_last"))
-    known = each.join(ranks.select("word", "rank"), "word", "left").join(F.broadcast(last))
+    words = ranks.select("word", "rank")
+    known = each.join(F.broadcast(words) if few_words else words, "word", "left").join(F.broadcast(last))
     return known.groupBy(key).agg(
         F.expr(f"ln(percentile_disc({COVERED}) WITHIN GROUP (ORDER BY coalesce(rank, _last)))").alias("coverage"),
         F.expr("ln(count(*) / first(_stops))").alias("sentence"),
@@ -63,15 +66,19 @@ def band_model(graded: DataFrame) -> DataFrame:
 
 
 def reading_levels(texts: DataFrame, corpus: DataFrame, graded: DataFrame, key: str) -> DataFrame:
-    """(key, band) of each text; a text without any word gets none. Ties go to the easier band.
+    """(key, band) of each text; a null text or one without any word gets none. Ties go to the easier band.
+
+    Keys have to be unique; equal texts get equal bands. Without graded texts no text gets a band.
 
     ``graded`` has ``sample_id``, ``text`` and ``band``; bands are few and known, so its model is broadcast.
     """
-    ranks = word_ranks(corpus)
-    samples = measured(graded, ranks, "sample_id").join(graded.select("sample_id", "band"), "sample_id")
+    # Counted once; with few enough distinct words every task gets the list, else words meet by a shuffle.
+    ranks = checkpoint(word_ranks(corpus))
+    few = ranks.count() <= MAX_BROADCAST_WORDS
+    samples = measured(graded, ranks, "sample_id", few).join(graded.select("sample_id", "band"), "sample_id")
     model = band_model(samples)
     gap = sum((F.abs(F.col(m) - F.col(f"m_{m}")) / F.col(f"d_{m}") for m in MEASURES), F.lit(0.0))
-    near = measured(texts, ranks, key).join(F.broadcast(model)).select(key, F.struct(F.round(gap, 9).alias("_gap"), "band").alias("_b"))
+    near = measured(texts, ranks, key, few).join(F.broadcast(model)).select(key, F.struct(F.round(gap, 9).alias("_gap"), "band").alias("_b"))
     return near.groupBy(key).agg(F.min("_b").alias("_b")).select(key, F.col("_b.band").alias("band"))
 
 
