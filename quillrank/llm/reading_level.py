@@ -47,13 +47,13 @@ def measured(texts: DataFrame, ranks: DataFrame, key: str, few_words: bool = Fal
     stops = F.size(F.regexp_extract_all(F.regexp_replace("text", MARKUP, " "), F.lit(STOP), F.lit(0)))
     # Stops are counted once a text, below the explode.
     split = texts.where("text is not null").select(key, F.greatest(F.lit(1), stops).alias("_stops"), _words().alias("_all"))
-    each = split.select(key, "_stops", F.explode("_all").alias("word"))
+    each = split.select(key, (F.size("_all") / F.col("_stops")).alias("_ratio"), F.explode("_all").alias("word"))
     last = ranks.agg(F.coalesce(F.max("last"), F.lit(1)).alias("_last"))
     words = ranks.select("word", "rank")
     known = each.join(F.broadcast(words) if few_words else words, "word", "left").join(F.broadcast(last))
     return known.groupBy(key).agg(
         F.expr(f"ln(percentile_disc({COVERED}) WITHIN GROUP (ORDER BY coalesce(rank, _last)))").alias("coverage"),
-        F.expr("ln(count(*) / first(_stops))").alias("sentence"),
+        F.expr("ln(max(_ratio))").alias("sentence"),
         F.expr("avg(length(word))").alias("letters"),
     )
 
@@ -68,7 +68,7 @@ def band_model(graded: DataFrame) -> DataFrame:
 def reading_levels(texts: DataFrame, corpus: DataFrame, graded: DataFrame, key: str) -> DataFrame:
     """(key, band) of each text; a null text or one without any word gets none. Ties go to the easier band.
 
-    Keys have to be unique; equal texts get equal bands. Without graded texts no text gets a band.
+    A row given twice gets one band, equal texts get equal ones. Without graded texts no text gets a band.
 
     ``graded`` has ``sample_id``, ``text`` and ``band``; bands are few and known, so its model is broadcast.
     """
