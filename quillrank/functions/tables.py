@@ -37,6 +37,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for work that is heavy for its bytes: at least one a core, more where shuffles have more."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers on this machine import this package; clusters get it by --py-files or PYTHONPATH."""
     root = str(Path(__file__).resolve().parents[2])

@@ -29,11 +29,8 @@ _NAMES = ["january", "february", "march", "april", "may", "june", "july", "augus
 
 def _month_number(name: Column) -> Column:
     """1 to 12 of an English month name, whole or cut to three or four letters; null for any other word."""
-    low = F.lower(name)
-    number = F.lit(None).cast("string")
-    for k, full in enumerate(_NAMES):
-        number = F.when(low.isin(full, full[:3], full[:4]), F.lit(str(k + 1))).otherwise(number)
-    return number
+    forms = {short: str(k + 1) for k, full in enumerate(_NAMES) for short in (full[:3], full[:4], full)}
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in forms.items() for x in pair)), F.lower(name))
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
@@ -46,7 +43,7 @@ def written_date(text: Column, end: bool = False) -> Column:
     Years come first or last as four digits; a time of day is ignored; outer white space too. Texts that
     name no existing day (2024-13-40, 30 Feb 2020) are null.
     """
-    t = F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")
+    t = F.btrim(text, F.lit(" \t\r\n\u00a0"))
     g = lambda pattern, k: F.regexp_extract(t, pattern, k)
     month = F.when(t.rlike(_YEAR_MONTH), _day(g(_YEAR_MONTH, 1), g(_YEAR_MONTH, 2), F.lit("1"))).when(t.rlike(_MONTH_YEAR), _day(g(_MONTH_YEAR, 2), _month_number(g(_MONTH_YEAR, 1)), F.lit("1")))
     return (
@@ -66,12 +63,17 @@ def row_periods(starts: Column, ends: Column) -> Column:
     def after_break(i: Column) -> Column:
         return (i == 0) | (starts[i] > F.date_add(F.get(ends, i - 1), 1))
 
-    opened = F.filter(F.transform(starts, lambda s, i: F.when(after_break(i), i)), lambda i: i.isNotNull())
     n = F.size(starts)
-    last = lambda k: F.coalesce(F.get(opened, k + 1), n) - 1
-    periods = F.transform(opened, lambda i, k: F.struct(F.lit("period").alias("kind"), F.get(starts, i).alias("from_date"), F.get(ends, last(k)).alias("to_date")))
-    gaps = F.transform(F.filter(opened, lambda i: i > 0), lambda i: F.struct(F.lit("gap").alias("kind"), F.date_add(F.get(ends, i - 1), 1).alias("from_date"), F.date_sub(F.get(starts, i), 1).alias("to_date")))
-    return F.coalesce(F.concat(periods, gaps), F.array().cast("array<struct<kind:string,from_date:date,to_date:date>>"))
+    opened = F.filter(F.transform(starts, lambda s, i: F.when(after_break(i), i)), lambda i: i.isNotNull())
+
+    def listed(o: Column) -> Column:
+        last = lambda k: F.coalesce(F.get(o, k + 1), n) - 1
+        periods = F.transform(o, lambda i, k: F.struct(F.lit("period").alias("kind"), F.get(starts, i).alias("from_date"), F.get(ends, last(k)).alias("to_date")))
+        gaps = F.transform(F.filter(o, lambda i: i > 0), lambda i: F.struct(F.lit("gap").alias("kind"), F.date_add(F.get(ends, i - 1), 1).alias("from_date"), F.date_sub(F.get(starts, i), 1).alias("to_date")))
+        return F.concat(periods, gaps)
+
+    # The places of breaks are bound once: a transform over a list of one.
+    return F.coalesce(F.transform(F.array(opened), listed)[0], F.array().cast("array<struct<kind:string,from_date:date,to_date:date>>"))
 
 
 def _ranked(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,18 +11,22 @@ from quillrank.operators.intervals import merge_intervals, row_periods, written_
 REF_DATE = "2026-06-10"
 
 
+def written_job(job: Column) -> Column:
+    """The dates and numbers a job is given by, each text parsed once."""
+    return F.struct(written_date(job["start_date"]).alias("s"), written_date(job["end_date"], end=True).alias("e"), job["duration_months"].alias("m"), job["is_current"].alias("c"))
+
+
 def job_span(job: Column, ref_date: str = REF_DATE) -> Column:
-    """struct<s, e> of a job, null where it has no start or no end or ends before it starts."""
-    start = written_date(job["start_date"])
-    months = job["duration_months"]
-    counted = F.when(months > 0, F.date_sub(F.add_months(start, months), 1))
-    end = F.coalesce(written_date(job["end_date"], end=True), F.when(job["is_current"], F.to_date(F.lit(ref_date))).otherwise(counted))
-    return F.when(start <= end, F.struct(start.alias("s"), end.alias("e")))
+    """struct<s, e> of a written job, null where it has no start or no end or ends before it starts."""
+    counted = F.when(job["m"] > 0, F.date_sub(F.add_months(job["s"], job["m"]), 1))
+    end = F.coalesce(job["e"], F.when(job["c"], F.to_date(F.lit(ref_date))).otherwise(counted))
+    return F.when(job["s"] <= end, F.struct(job["s"].alias("s"), end.alias("e")))
 
 
 def record_periods(records: DataFrame, key: str = "record_id") -> DataFrame:
     """Periods and gaps of every record, in the row: no shuffle. Null or empty job lists give no rows."""
-    spans = F.filter(F.transform("career_history", lambda j: job_span(j)), lambda x: x.isNotNull())
+    written = F.transform("career_history", lambda j: F.when(j.isNotNull(), written_job(j)))
+    spans = F.filter(F.transform(written, lambda j: job_span(j)), lambda x: x.isNotNull())
     ranked = records.select(key, spans.alias("_spans")).select(key, F.array_sort(F.col("_spans.s")).alias("_s"), F.array_sort(F.col("_spans.e")).alias("_e"))
     out = ranked.select(key, F.inline(row_periods(F.col("_s"), F.col("_e"))))
     return out.select(key, "kind", F.date_format("from_date", "yyyy-MM-dd").alias("from_date"), F.date_format("to_date", "yyyy-MM-dd").alias("to_date"))
