@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.functions.tables import table
+from quillrank.functions.tables import table, task_count
 from quillrank.llm.spellings import LEGAL, PLACES, _squeezed, folded, kind_word, tokens
 from quillrank.llm.tries import Trie
 
@@ -217,5 +217,6 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = collected(reference)
     labels = [label for e in entries.values() for _, label in e]
     values = typed_values(spark, sf_dir).where(~F.col("value").isin(labels)) if len(labels) <= 1000 else typed_values(spark, sf_dir).join(reference.select(F.col("label").alias("value")), "value", "left_anti")
-    matches = matched_values(values.select("field_name", "value").distinct(), entries)
+    distinct = values.select("field_name", "value").distinct().repartition(task_count(spark), "value")
+    matches = matched_values(distinct, entries)
     return values.join(matches, ["field_name", "value"]).select("record_id", "field_name", "item_no", "ref_id")

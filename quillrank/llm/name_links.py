@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillrank.functions.tables import checkpoint, table
+from quillrank.functions.tables import checkpoint, table, task_count
 from quillrank.llm.near_duplicates import groups_of
 from quillrank.llm.spellings import parse_name
 from quillrank.llm.tries import Trie
@@ -50,16 +50,24 @@ def index_keys(name: str) -> list[str]:
     return [f"{len(name)}|{k}|{name[a:b]}" for k, (a, b) in enumerate(_segments(len(name), edits))]
 
 
-def query_keys(name: str) -> list[str]:
-    """Keys of every shard that may hold a name within the bound of the longer length."""
-    out = []
+def query_keys(name: str) -> set[str]:
+    """Keys of every shard that may hold a name within the bound of the longer length.
+
+    Of n segments and at most n - 1 damaged ones there is a whole one with no more edits before it than
+    segments, and no more behind it than segments; so segment k starts at most k places off from the left and
+    n - 1 - k places off from the right end.
+    """
+    out = set()
     for length in range(max(1, len(name) - 3), len(name) + 4):
         edits = most_edits(length)
-        if abs(length - len(name)) > edits:
+        more = len(name) - length
+        if abs(more) > edits:
             continue
-        for k, (a, b) in enumerate(_segments(length, edits)):
-            for at in range(max(0, a - edits), min(len(name) - (b - a), a + edits) + 1):
-                out.append(f"{length}|{k}|{name[at : at + b - a]}")
+        cuts = _segments(length, edits)
+        for k, (a, b) in enumerate(cuts):
+            right = len(cuts) - 1 - k
+            for at in range(max(0, a - k, a + more - right), min(len(name) - (b - a), a + k, a + more + right) + 1):
+                out.add(f"{length}|{k}|{name[at : at + b - a]}")
     return out
 
 
@@ -78,21 +86,27 @@ def _parse(field: pd.Series, name: pd.Series) -> pd.DataFrame:
 def parsed_names(names: DataFrame) -> DataFrame:
     """``names`` (field_name, name, n) with their parse and node; spellings that name nothing are left out."""
     kind = T.StructType([T.StructField("kind", T.StringType()), T.StructField("letters", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("initials", T.StringType())])
-    p = names.withColumn("_p", F.pandas_udf(_parse, kind)("field_name", "name"))
+    # Few bytes, much work: the number of tasks is stated, as by size all would be one.
+    p = names.repartition(task_count(names.sparkSession), "name").withColumn("_p", F.pandas_udf(_parse, kind)("field_name", "name"))
     joined = F.array_join("_p.words", "")
     node = F.xxhash64("field_name", "_p.kind", F.concat(F.col("_p.letters"), F.lit("|"), joined))
     return p.where((joined != "") | (F.col("_p.letters") != "")).select("field_name", "name", "n", "_p.*", joined.alias("run"), node.alias("node"))
 
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each shard a node goes to, as an indexed name or as a query in one order of its words."""
+def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each shard that holds a node: under its kind and under any kind."""
+    for pdf in batches:
+        rows = [(f"{field}|{k}|{key}", False, run, node) for field, kind, run, node in zip(pdf["field_name"], pdf["kind"], pdf["run"], pdf["node"]) if kind for key in index_keys(run) for k in (kind, ANY_KIND)]
+        yield pd.DataFrame(rows, columns=["shard", "is_query", "name", "node"])
+
+
+def _queried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each shard a node has to look into, in each order of its words."""
     for pdf in batches:
         rows = []
-        for field, kind, words, run, node in zip(pdf["field_name"], pdf["kind"], pdf["words"], pdf["run"], pdf["node"]):
-            if kind:
-                rows += [(f"{field}|{k}|{key}", False, run, node) for key in index_keys(run) for k in (kind, ANY_KIND)]
+        for field, kind, words, node in zip(pdf["field_name"], pdf["kind"], pdf["words"], pdf["node"]):
             for turn in rotations(list(words)):
-                rows += [(f"{field}|{kind or ANY_KIND}|{key}", True, turn, node) for key in set(query_keys(turn))]
+                rows += [(f"{field}|{kind or ANY_KIND}|{key}", True, turn, node) for key in query_keys(turn)]
         yield pd.DataFrame(rows, columns=["shard", "is_query", "name", "node"])
 
 
@@ -115,10 +129,13 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def near_nodes(nodes: DataFrame) -> DataFrame:
     """(node, other, edits): each node with the kind-bearing nodes within the bound, in any word order."""
-    keyed = nodes.select("field_name", "kind", "words", "run", "node").mapInPandas(_keyed, "shard string, is_query boolean, name string, node bigint").distinct()
-    # Shards without an indexed name have nothing to find.
-    held = keyed.where("not is_query").select("shard").distinct()
-    met = keyed.join(held, "shard", "left_semi").repartition("shard").sortWithinPartitions("shard", "is_query")
+    row = "shard string, is_query boolean, name string, node bigint"
+    own = nodes.select("field_name", "kind", "words", "run", "node")
+    held = own.mapInPandas(_indexed, row)
+    # Most shards a node could look into hold no name.
+    tasks = task_count(nodes.sparkSession)
+    looked = own.repartition(tasks, "node").mapInPandas(_queried, row).join(held.select("shard").distinct(), "shard", "left_semi")
+    met = held.unionByName(looked).repartition(tasks, "shard").sortWithinPartitions("shard", "is_query")
     return met.mapInPandas(_walk, "node bigint, other bigint, edits int").groupBy("node", "other").agg(F.min("edits").alias("edits"))
 
 
