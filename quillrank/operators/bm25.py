@@ -13,14 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.config import EPSILON, K1, B
+from quillrank.functions.tables import checkpoint
 from quillrank.operators.text import tokenize
 
 
 def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths); null texts have length 0 and no terms."""
-    split = docs.select(F.col(key).alias("doc"), tokenize(F.col(text)).alias("_t"))
-    lengths = split.select("doc", F.coalesce(F.size("_t"), F.lit(0)).alias("length")).withColumn("length", F.greatest("length", F.lit(0)))
-    return split.select("doc", F.explode("_t").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), lengths
+    """(postings, lengths); null texts have length 0 and no terms. Keys have to be unique.
+
+    Texts are split once: the postings are kept as a table, and lengths are sums over it.
+    """
+    words = docs.select(F.col(key).alias("doc"), F.explode(tokenize(F.col(text))).alias("term"))
+    terms = checkpoint(words.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
+    sums = terms.groupBy("doc").agg(F.sum("tf").alias("length"))
+    lengths = docs.select(F.col(key).alias("doc")).join(sums, "doc", "left").select("doc", F.coalesce("length", F.lit(0)).alias("length"))
+    return terms, lengths
 
 
 def term_weights(terms: DataFrame, lengths: DataFrame) -> DataFrame:
