@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -126,9 +126,14 @@ def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRATA = ["top_retrieval_bm25", "top_retrieval_dense", "top_anti_persona_sim", "title_match_strong", "title_mismatch", "consulting_only", "honeypot_flagged", "high_behavioral", "low_behavioral", "tier1_education", "random"]
 
 
+def held_out() -> Column:
+    """Whether a candidate is on the validation side: a fifth, by the hash of its id."""
+    return F.conv(F.substring(F.md5("candidate_id"), 1, 4), 16, 10).cast("int") < 13107
+
+
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training or validation side of each labelled candidate, by the hash of its id: the same on every run."""
-    side = F.when(F.conv(F.substring(F.md5("candidate_id"), 1, 4), 16, 10).cast("int") < 13107, "validation").otherwise("training")
+    side = F.when(held_out(), "validation").otherwise("training")
     return _candidate_scores(spark, sf_dir).select("candidate_id", side.alias("side"))
 
 

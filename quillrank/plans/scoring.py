@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from quillrank.functions.tables import checkpoint, table
 from quillrank.operators import model
 from quillrank.operators.text import entries, labelling_payload, rerank_passage
-from quillrank.plans.labels import _candidate_scores, _rows
-
-FEATURES = ["sim_ideal_max", "bm25_rank_pct", "skill_evidence_ratio", "yoe_fit_score", "product_company_ratio", "notice_penalty", "recency_score", "behavioral_composite", "consistency_violation_count"]
-ROUNDS = 15
+from quillrank.plans.labels import _candidate_scores, _rows, held_out
+
+#: All columns of a feature row, in the order of the reference's vector.
+FEATURES = [
+    "sim_ideal_max", "sim_ideal_mean", "sim_anti_max", "semantic_contrastive", "sim_jd_summary", "per_req_coverage_mean",
+    "per_req_coverage_min", "per_req_coverage_std", "bm25_score", "bm25_rank_pct", "core_skill_count_raw", "core_skill_count_evidenced",
+    "skill_evidence_ratio", "nice_skill_count_evidenced", "max_assessment_score_jd", "assessment_coverage", "github_activity_score", "years_of_experience",
+    "yoe_fit_score", "product_company_months", "product_company_ratio", "current_role_relevance", "ever_at_it_services_only", "longest_tenure_months",
+    "avg_tenure_months", "title_chaser_flag", "max_company_size", "startup_experience", "production_signal_count", "best_edu_tier",
+    "stem_degree", "india_location", "preferred_city_match", "willing_to_relocate", "notice_penalty", "salary_in_range",
+    "work_mode_match", "recency_score", "open_to_work", "recruiter_response_rate", "interview_completion_rate", "applications_30d",
+    "profile_completeness", "saved_by_recruiters_30d", "verified_contact", "behavioral_composite", "consistency_violation_count", "is_honeypot",
+]
+#: At most; growing ends earlier by the error on the validation side.
+ROUNDS = 500
 
 
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir).join(_candidate_scores(spark, sf_dir), "candidate_id").select("candidate_id", "label", *FEATURES)
+    return _rows(spark, sf_dir).join(_candidate_scores(spark, sf_dir), "candidate_id").select("candidate_id", "label", held_out().alias("held_out"), *FEATURES)
 
 
 def trained(spark: SparkSession, sf_dir: str) -> model.GBTRegressionModel:
-    return model.train(checkpoint(_training(spark, sf_dir)), FEATURES, "label", ROUNDS)
+    return model.train(checkpoint(_training(spark, sf_dir)), FEATURES, "label", ROUNDS, "held_out")
 
 
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

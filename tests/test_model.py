@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillrank.operators import model
-from quillrank.plans.scoring import FEATURES, model_contributions
+from quillrank.plans.scoring import FEATURES, ROUNDS, model_contributions, trained
 
 
 def coalition(tree, x, known, at=0):
@@ -44,3 +44,27 @@ def test_contributions_are_shapley_values_and_sum_to_the_score(spark):
 def test_contributions_on_the_table(spark):
     out = model_contributions(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.where(F.size("contributions") != len(FEATURES)).count() == 0
+
+
+def test_growing_ends_by_the_held_out_error(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 2))
+    y = x[:, 0] + rng.normal(0, 0.3, 400)
+    df = spark.createDataFrame([(i, *map(float, r), float(v), i % 5 == 0) for i, (r, v) in enumerate(zip(x, y))], "i int, a double, b double, y double, held boolean").coalesce(1).cache()
+    fitted = model.train(df, ["a", "b"], "y", 80, "held", patience=5)
+    held, grown = df.where("held"), df.where("not held")
+    whole = model.train(grown, ["a", "b"], "y", 80)
+    errors = whole.evaluateEachIteration(model._assembled(held, ["a", "b"]), "squared")
+    n = model.last_round(errors, 5)
+    assert n < 80 and fitted.getNumTrees == n and min(errors[:n]) == errors[n - 6]
+    for a, b in zip(model.nodes(fitted), model.nodes(whole)):
+        assert all(np.array_equal(a[k], b[k]) for k in a)
+    assert model.predict(fitted, df, ["a", "b"]).where("score is not null").count() == 400
+    assert model.last_round([3.0, 2.0, 2.0, 1.0], 2) is None and model.last_round([3.0, 2.0, 2.0, 2.5, 1.0], 2) == 4
+
+
+def test_the_model_takes_every_column_of_a_feature_row(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/feature_rows.parquet")
+    assert [c for c in table.columns if c not in ("search_id", "candidate_id")] == FEATURES and len(FEATURES) == 48
+    fitted = trained(spark, "/root/testdata/sf0.001")
+    assert fitted.numFeatures == 48 and model.PATIENCE < fitted.getNumTrees <= ROUNDS
