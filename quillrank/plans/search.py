@@ -13,6 +13,8 @@ from quillrank.operators.text import tokenize
 #: Stated queries of the embeddings table: the first five vectors are wanted, the next five unwanted.
 WANTED, UNWANTED = range(0, 5), range(5, 10)
 TOP_LIST, TOP_FUSED = 100, 50
+#: Lengths of the reference's retrieval: of either list, and of the fused one.
+RETRIEVED, CANDIDATES = 5000, 2000
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +34,9 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.scores(_docs(spark, sf_dir), "doc_id", "text", C.QUERY).select("doc", F.round("score", 6).alias("score"))
 
 
-def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lexical(spark: SparkSession, sf_dir: str, k: int = TOP_LIST) -> DataFrame:
     scored = bm25.scores(_docs(spark, sf_dir), "doc_id", "text", C.QUERY).select("doc", F.round("score", 9).alias("score"))
-    return ranking.top_k(scored, TOP_LIST, F.desc("score"), "doc")
+    return ranking.top_k(scored, k, F.desc("score"), "doc")
 
 
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,19 +72,36 @@ def mean_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("label", "place", F.round("mean", 6).alias("mean"))
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dense(spark: SparkSession, sf_dir: str, k: int = TOP_LIST) -> DataFrame:
     best = _cosines(spark, sf_dir, WANTED).groupBy("vec_id").agg(F.round(F.max("cos"), 9).alias("score"))
-    return ranking.top_k(best, TOP_LIST, F.desc("score"), "vec_id")
+    return ranking.top_k(best, k, F.desc("score"), "vec_id")
 
 
 def dense_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir).select("vec_id", "rank")
 
 
+def _fused(spark: SparkSession, sf_dir: str, each: int, k: int) -> DataFrame:
+    fused = ranking.fuse([_lexical(spark, sf_dir, each), _dense(spark, sf_dir, each).withColumnRenamed("vec_id", "doc")], "doc")
+    return ranking.top_k(fused.select("doc", F.round("rrf", 9).alias("rrf")), k, F.desc("rrf"), "doc")
+
+
 def hybrid_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: lexical and dense top lists fused by reciprocal ranks."""
-    fused = ranking.fuse([_lexical(spark, sf_dir), _dense(spark, sf_dir).withColumnRenamed("vec_id", "doc")], "doc")
-    return ranking.top_k(fused.select("doc", F.round("rrf", 9).alias("rrf")), TOP_FUSED, F.desc("rrf"), "doc")
+    return _fused(spark, sf_dir, TOP_LIST, TOP_FUSED)
+
+
+def bm25_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical(spark, sf_dir, RETRIEVED).select("doc", "rank")
+
+
+def dense_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir, RETRIEVED).select("vec_id", "rank")
+
+
+def hybrid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's retrieval: lists as long as it takes them, so that a low rank in one still counts."""
+    return _fused(spark, sf_dir, RETRIEVED, CANDIDATES)
 
 
 def line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +135,7 @@ cos AS (SELECT a.vec_id, q.vec_id AS qid, list_dot_product(a.v, q.v) / (a.n * q.
 _LISTS = """
 lex AS (SELECT doc, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS rank FROM bm QUALIFY rank <= 100),
 den AS (SELECT vec_id AS doc, row_number() OVER (ORDER BY round(max(cos), 9) DESC, vec_id) AS rank FROM cos WHERE qid < 5 GROUP BY 1 QUALIFY rank <= 100)"""
+_LONG = _LISTS.replace("rank <= 100", f"rank <= {RETRIEVED}")
 
 QUERIES = {
     "token_counts": (token_counts, "SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1"),
@@ -136,6 +156,14 @@ SELECT vec_id, round(best, 6) AS best, round(mean, 6) AS mean, round(worst, 6) A
         _TERMS + "," + _COS + "," + _LISTS + """, f AS (
   SELECT doc, round(sum(1 / (60 + rank)), 9) AS rrf FROM (SELECT * FROM lex UNION ALL SELECT * FROM den) GROUP BY 1)
 SELECT doc, rrf, CAST(row_number() OVER (ORDER BY rrf DESC, doc) AS INT) AS rank FROM f QUALIFY rank <= 50""",
+    ),
+    "bm25_retrieved": (bm25_retrieved, _TERMS + "," + _COS + "," + _LONG + " SELECT doc, CAST(rank AS INT) AS rank FROM lex"),
+    "dense_retrieved": (dense_retrieved, _TERMS + "," + _COS + "," + _LONG + " SELECT doc AS vec_id, CAST(rank AS INT) AS rank FROM den"),
+    "hybrid_candidates": (
+        hybrid_candidates,
+        _TERMS + "," + _COS + "," + _LONG + f""", f AS (
+  SELECT doc, round(sum(1 / (60 + rank)), 9) AS rrf FROM (SELECT * FROM lex UNION ALL SELECT * FROM den) GROUP BY 1)
+SELECT doc, rrf, CAST(row_number() OVER (ORDER BY rrf DESC, doc) AS INT) AS rank FROM f QUALIFY rank <= {CANDIDATES}""",
     ),
     "line_units": (
         line_units,
