@@ -1,13 +1,22 @@
-"""Dense vectors: products, cosines and pooled maxima, without leaving the JVM."""
+"""Dense vectors: products, cosines and pooled maxima without leaving the JVM; nearest rows of many queries in Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillrank.functions.tables import checkpoint
+
 NORM_EPSILON = 1e-9
+#: Rows scored at once, and what a score may be below the last kept, as rounding and ties are settled at the end.
+SLICE, SLACK = 2048, 1e-8
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,7 +35,7 @@ def cosines(vectors: DataFrame, queries: DataFrame, key: str, vec: str, qid: str
     """
     rows = queries.select(qid, vec).orderBy(qid).limit(257).collect()
     if len(rows) > 256:
-        raise ValueError("more than 256 query vectors; score them in blocks")
+        raise ValueError("more than 256 query vectors; nearest() scores them in blocks")
     unit = []
     for r in rows:
         size = sum(float(x) ** 2 for x in r[vec]) ** 0.5 + NORM_EPSILON
@@ -36,6 +45,55 @@ def cosines(vectors: DataFrame, queries: DataFrame, key: str, vec: str, qid: str
     return own.select(key, F.inline(every))
 
 
+def _kept(q: np.ndarray, ids: np.ndarray, s: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of scored pairs those among the k best of their query, or as good; and each query's least score to enter."""
+    if not len(s):
+        return q, ids, s, np.full(n, -np.inf)
+    order = np.lexsort((-s, q))
+    q, ids, s = q[order], ids[order], s[order]
+    ends = np.searchsorted(q, np.arange(n), side="right")
+    last = np.searchsorted(q, np.arange(n)) + k - 1
+    floor = np.where(last < ends, s[np.minimum(last, len(s) - 1)] - SLACK, -np.inf)
+    good = s >= floor[q]
+    return q[good], ids[good], s[good], floor
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vec: str, qid: str, k: int, block: int = 1024) -> DataFrame:
+    """(qid, key, score, rank): of each query the k rows of greatest cosine to nine places, ties to the smaller key.
+
+    Any number of queries: a block of them at a time passes through the driver and meets all rows in slices,
+    each task keeps k rows a query, and what is left of a block is written before the next is read.
+    """
+    rows = vectors.where(F.col(vec).isNotNull()).select(key, vec)
+    waiting = queries.where(F.col(vec).isNotNull()).select(qid, vec).orderBy(qid).toLocalIterator()
+    kinds = dict(queries.dtypes)[qid], dict(vectors.dtypes)[key]
+    schema, found = f"`{qid}` {kinds[0]}, `{key}` {kinds[1]}, cos double", []
+
+    def scorer(names: np.ndarray, unit: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            q, ids, s, floor = np.array([], int), None, np.array([]), np.full(len(names), -np.inf)
+            for pdf in batches:
+                for at in range(0, len(pdf), SLICE):
+                    part = pdf.iloc[at : at + SLICE]
+                    x, own = np.stack(part[vec].to_numpy()).astype(float), part[key].to_numpy()
+                    cos = (x @ unit.T) / (np.sqrt((x * x).sum(axis=1)) + NORM_EPSILON)[:, None]
+                    i, j = np.nonzero(cos >= floor)
+                    q, ids, s, floor = _kept(np.concatenate([q, j]), own[i] if ids is None else np.concatenate([ids, own[i]]), np.concatenate([s, cos[i, j]]), len(names), k)
+            if ids is not None:
+                yield pd.DataFrame({qid: names[q], key: ids, "cos": s})
+
+        return run
+
+    first = W.partitionBy(qid).orderBy(F.desc("score"), key)
+    while some := list(islice(waiting, block)):
+        v = np.array([r[vec] for r in some], float)
+        unit = v / (np.sqrt((v * v).sum(axis=1)) + NORM_EPSILON)[:, None]
+        scored = rows.mapInPandas(scorer(np.array([r[qid] for r in some]), unit), schema).select(qid, key, F.round("cos", 9).alias("score"))
+        found.append(checkpoint(scored.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)))
+    empty = vectors.sparkSession.createDataFrame([], f"`{qid}` {kinds[0]}, `{key}` {kinds[1]}, score double, rank int")
+    return reduce(DataFrame.unionByName, found or [empty])
+
+
 def mean_pool(vectors: DataFrame, key: str, vec: str) -> DataFrame:
     """(key, place, mean) of each dimension; partial sums before the shuffle."""
     return vectors.select(key, F.posexplode(vec).alias("place", "_x")).groupBy(key, "place").agg(F.avg(F.col("_x").cast("double")).alias("mean"))

@@ -99,6 +99,13 @@ def dense_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir, RETRIEVED).select("vec_id", "rank")
 
 
+def dense_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every query, which is each row whose id is divisible by 100; itself among them."""
+    v = _embeddings(spark, sf_dir)
+    queries = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), "embedding")
+    return vectors.nearest(v, queries, "vec_id", "embedding", "qid", TOP_LIST)
+
+
 def hybrid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference's retrieval: lists as long as it takes them, so that a low rank in one still counts."""
     return _fused(spark, sf_dir, RETRIEVED, CANDIDATES)
@@ -159,6 +166,11 @@ SELECT doc, rrf, CAST(row_number() OVER (ORDER BY rrf DESC, doc) AS INT) AS rank
     ),
     "bm25_retrieved": (bm25_retrieved, _TERMS + "," + _COS + "," + _LONG + " SELECT doc, CAST(rank AS INT) AS rank FROM lex"),
     "dense_retrieved": (dense_retrieved, _TERMS + "," + _COS + "," + _LONG + " SELECT doc AS vec_id, CAST(rank AS INT) AS rank FROM den"),
+    "dense_neighbours": (
+        dense_neighbours,
+        "WITH " + _COS.replace("q.vec_id < 10", "q.vec_id % 100 = 0") + """, s AS (SELECT qid, vec_id, round(cos, 9) AS score FROM cos)
+SELECT qid, vec_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 100""",
+    ),
     "hybrid_candidates": (
         hybrid_candidates,
         _TERMS + "," + _COS + "," + _LONG + f""", f AS (
