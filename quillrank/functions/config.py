@@ -17,6 +17,8 @@ BEHAVIOURAL = ["recency_score", "open_to_work", "recruiter_response_rate", "inte
 RUBRIC = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 SWEEP = [10, 15, 20, 25, 30, 35, 40, 50]
 QUOTA = 20
+#: The quotas of the labelling sample, in the order of drawing.
+QUOTAS = {"top_retrieval_bm25": 200, "top_retrieval_dense": 200, "top_anti_persona_sim": 150, "title_match_strong": 200, "title_mismatch": 150, "consulting_only": 100, "honeypot_flagged": 100, "high_behavioral": 150, "low_behavioral": 150, "tier1_education": 100, "random": 1000}
 
 # BM25 and fusion constants of the common Okapi formula.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60

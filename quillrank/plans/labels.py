@@ -104,25 +104,34 @@ def _folded(c: str = "stratum"):
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _drawn(spark: SparkSession, sf_dir: str, quotas: dict[str, int]) -> DataFrame:
     """Candidates drawn in the fixed order of strata, each at most once, up to a quota a stratum.
 
     A candidate goes to the first stratum that takes it. Each stratum is a top-k by a seeded hash of the
-    candidates not drawn so far: one anti-join with at most quota times strata ids, broadcast by that bound.
+    candidates not drawn so far: one anti-join with at most the quotas' sum of ids, broadcast by that bound.
     """
     units = checkpoint(_labels(spark, sf_dir).where("candidate_id is not null").select("candidate_id", _folded().alias("stratum")).distinct())
     drawn = None
-    for name in STRATA:
+    for name, quota in quotas.items():
         pool = units.where(F.col("stratum") == name)
         if drawn is not None:
             pool = pool.join(F.broadcast(drawn.select("candidate_id")), "candidate_id", "left_anti")
-        part = pool.select("candidate_id", F.lit(name).alias("stratum"), F.md5(F.concat("candidate_id", F.lit("|"), F.lit(name), F.lit("|42"))).alias("_h")).orderBy("_h", "candidate_id").limit(C.QUOTA).drop("_h")
+        part = pool.select("candidate_id", F.lit(name).alias("stratum"), F.md5(F.concat("candidate_id", F.lit("|"), F.lit(name), F.lit("|42"))).alias("_h")).orderBy("_h", "candidate_id").limit(quota).drop("_h")
         # At most a quota of rows; kept, so that a later stratum does not draw the earlier ones again.
         part = checkpoint(part)
         drawn = part if drawn is None else drawn.unionByName(part)
     return drawn
 
 
+def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drawn(spark, sf_dir, dict.fromkeys(STRATA, C.QUOTA))
+
+
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelling sample with the reference's own quota of each stratum, 2,500 in all."""
+    return _drawn(spark, sf_dir, C.QUOTAS)
+
+
 STRATA = ["top_retrieval_bm25", "top_retrieval_dense", "top_anti_persona_sim", "title_match_strong", "title_mismatch", "consulting_only", "honeypot_flagged", "high_behavioral", "low_behavioral", "tier1_education", "random"]
 
 
@@ -199,9 +208,16 @@ n AS (SELECT search_id,
   coalesce(sum((pow(2.0::DOUBLE, label) - 1) / log2(k + 1)) FILTER (k <= 10), 0) / nullif(sum((pow(2.0::DOUBLE, label) - 1) / log2(b + 1)) FILTER (b <= 10), 0) AS n10,
   coalesce(sum((pow(2.0::DOUBLE, label) - 1) / log2(k + 1)) FILTER (k <= 50), 0) / nullif(sum((pow(2.0::DOUBLE, label) - 1) / log2(b + 1)) FILTER (b <= 50), 0) AS n50 FROM j GROUP BY 1)"""
 _FOLD = "trim(regexp_replace(lower(stratum), '[^a-z0-9]+', '_', 'g'), '_')"
-_QUOTA_SQL = f"WITH u AS (SELECT DISTINCT candidate_id, {_FOLD} AS stratum FROM label_results WHERE candidate_id IS NOT NULL)" + "".join(
-    f", d{k} AS MATERIALIZED (SELECT candidate_id, stratum FROM u WHERE stratum = '{s}'" + "".join(f" AND candidate_id NOT IN (SELECT candidate_id FROM d{i})" for i in range(k)) + f" ORDER BY md5(candidate_id || '|{s}|42'), candidate_id LIMIT {C.QUOTA})" for k, s in enumerate(STRATA)
-) + " " + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(len(STRATA)))
+
+
+def _quota_sql(quotas: dict[str, int]) -> str:
+    parts = [
+        f", d{k} AS MATERIALIZED (SELECT candidate_id, stratum FROM u WHERE stratum = '{s}'" + "".join(f" AND candidate_id NOT IN (SELECT candidate_id FROM d{i})" for i in range(k)) + f" ORDER BY md5(candidate_id || '|{s}|42'), candidate_id LIMIT {n})"
+        for k, (s, n) in enumerate(quotas.items())
+    ]
+    return f"WITH u AS (SELECT DISTINCT candidate_id, {_FOLD} AS stratum FROM label_results WHERE candidate_id IS NOT NULL)" + "".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(len(quotas)))
+
+
 
 QUERIES = {
     "score_distribution": (score_distribution, "SELECT score, count(*) AS n FROM label_results GROUP BY 1"),
@@ -222,7 +238,8 @@ SELECT search_id, round(p, 6) AS precision_10, round(a, 6) AS average_precision,
     "ablated_scores": (ablated_scores, f"""WITH {_ROWS}, p AS (SELECT search_id, candidate_id, coalesce(CAST(sim_ideal_max AS DOUBLE), 0) - 0.4 * coalesce(CAST(sim_anti_max AS DOUBLE), 0) AS d,
   coalesce(CAST(skill_evidence_ratio AS DOUBLE), 0) + 0.1 * coalesce(CAST(core_skill_count_evidenced AS DOUBLE), 0) AS s, coalesce(CAST(behavioral_composite AS DOUBLE), 0) + 0.2 * coalesce(CAST(recruiter_response_rate AS DOUBLE), 0) AS b FROM r)
 SELECT search_id, candidate_id, round(d + s + b, 4) AS whole, round(d + s + b - d, 4) AS no_dense, round(d + s + b - s, 4) AS no_skills, round(d + s + b - b, 4) AS no_behaviour FROM p"""),
-    "quota_sample": (quota_sample, _QUOTA_SQL),
+    "quota_sample": (quota_sample, _quota_sql(dict.fromkeys(STRATA, C.QUOTA))),
+    "stratified_sample": (stratified_sample, _quota_sql(C.QUOTAS)),
     "split_rows": (split_rows, f"WITH {_GOOD} SELECT candidate_id, CASE WHEN CAST('0x' || substr(md5(candidate_id), 1, 4) AS INT) < 13107 THEN 'validation' ELSE 'training' END AS side FROM (SELECT DISTINCT candidate_id FROM good)"),
     "labelled_and_considered": (labelled_and_considered, "SELECT DISTINCT candidate_id FROM label_results WHERE candidate_id IN (SELECT candidate_id FROM feature_rows)"),
     "labelled_not_considered": (labelled_not_considered, "SELECT DISTINCT candidate_id FROM label_results WHERE candidate_id IS NOT NULL AND candidate_id NOT IN (SELECT candidate_id FROM feature_rows WHERE candidate_id IS NOT NULL)"),
