@@ -8,7 +8,7 @@
    kind, length, place and segment. Each shard's names become a trie, walked with the Levenshtein automaton
    of every query of the shard, in each rotation of its words: words typed in another order meet there too.
 3. A node follows the nearest node that outweighs it (misspellings are rarer than the right form, two right
-   forms are not), one without a kind the one of any kind. Union-find gives the organisations.
+   forms are not), one without a kind the one of any kind, or where none is near one without. Union-find gives the organisations.
 4. An abbreviation belongs to the heaviest organisation with these initials.
 
 Sharding keeps what meets in one place to spellings that share a segment; rows are summed before anything is
@@ -94,9 +94,9 @@ def parsed_names(names: DataFrame) -> DataFrame:
 
 
 def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each shard that holds a node: under its kind and under any kind."""
+    """A row for each shard that holds a node: under its kind and under any kind; under the empty kind if it has none."""
     for pdf in batches:
-        rows = [(f"{field}|{k}|{key}", False, run, node) for field, kind, run, node in zip(pdf["field_name"], pdf["kind"], pdf["run"], pdf["node"]) if kind for key in index_keys(run) for k in (kind, ANY_KIND)]
+        rows = [(f"{field}|{k}|{key}", False, run, node) for field, kind, run, node in zip(pdf["field_name"], pdf["kind"], pdf["run"], pdf["node"]) for key in index_keys(run) for k in ((kind, ANY_KIND) if kind else ("",))]
         yield pd.DataFrame(rows, columns=["shard", "is_query", "name", "node"])
 
 
@@ -106,7 +106,7 @@ def _queried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for field, kind, words, node in zip(pdf["field_name"], pdf["kind"], pdf["words"], pdf["node"]):
             for turn in rotations(list(words)):
-                rows += [(f"{field}|{kind or ANY_KIND}|{key}", True, turn, node) for key in query_keys(turn)]
+                rows += [(f"{field}|{k}|{key}", True, turn, node) for key in query_keys(turn) for k in ((kind,) if kind else (ANY_KIND, ""))]
         yield pd.DataFrame(rows, columns=["shard", "is_query", "name", "node"])
 
 
@@ -128,7 +128,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_nodes(nodes: DataFrame) -> DataFrame:
-    """(node, other, edits): each node with the kind-bearing nodes within the bound, in any word order."""
+    """(node, other, edits): each node with the nodes of its kind within the bound, in any word order; of all kinds if it has none."""
     row = "shard string, is_query boolean, name string, node bigint"
     own = nodes.select("field_name", "kind", "words", "run", "node")
     held = own.mapInPandas(_indexed, row)
@@ -148,11 +148,11 @@ def linked_names(names: DataFrame) -> DataFrame:
     parsed = checkpoint(parsed_names(names))
     full = parsed.where("letters = ''")
     nodes = checkpoint(full.groupBy("node", "field_name", "kind", "run").agg(F.sum("n").alias("n"), F.max(F.struct(F.size("words").alias("k"), "words"))["words"].alias("words")))
-    weight = nodes.select("node", "n")
-    near = near_nodes(nodes).join(weight.select("node", F.col("n").alias("own")), "node").join(weight.select(F.col("node").alias("other"), F.col("n").alias("theirs")), "other")
+    weight = nodes.select("node", "n", (F.col("kind") == "").alias("bare"))
+    near = near_nodes(nodes).join(weight.select("node", F.col("n").alias("own")), "node").join(weight.select(F.col("node").alias("other"), F.col("n").alias("theirs"), "bare"), "other")
     ratio = F.create_map(*(F.lit(x) for kv in OUTWEIGHS.items() for x in kv))[F.col("edits")]
     fit = near.where((F.col("theirs") >= ratio * F.col("own")) & ((F.col("edits") == 0) | (F.col("theirs") > F.col("own")) | ((F.col("theirs") == F.col("own")) & (F.col("other") < F.col("node")) & (F.col("edits") == 1) & (F.col("own") <= 2))))
-    best = fit.groupBy("node").agg(F.min(F.struct("edits", (-F.col("theirs")).alias("_w"), "other")).alias("_b")).select(F.col("node").alias("a"), F.col("_b.other").alias("b"))
+    best = fit.groupBy("node").agg(F.min(F.struct("bare", "edits", (-F.col("theirs")).alias("_w"), "other")).alias("_b")).select(F.col("node").alias("a"), F.col("_b.other").alias("b"))
     roots = groups_of(best)
     placed = full.join(roots, "node", "left").select("field_name", "name", "n", "initials", "kind", F.coalesce("root", "node").alias("organisation"))
     placed = checkpoint(placed)
