@@ -63,3 +63,34 @@ def min_max(df: DataFrame, group: list[str], score: str) -> DataFrame:
     ends = df.groupBy(*group).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
     flat = F.when(F.col("_hi") > F.col("_lo"), (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0)
     return df.join(ends, group).withColumn("norm", F.when(F.col(score).isNotNull(), flat)).drop("_lo", "_hi")
+
+
+def violations(df: DataFrame, group: str, rows: int = 100) -> DataFrame:
+    """(group, code, n): what is wrong with rankings given as candidate_id, rank and score, as text or typed.
+
+    Codes: bad_id, repeated_id, bad_rank (no canonical whole number), rank_range, repeated_rank, missing_rank (of
+    1 to ``rows``), row_count, bad_score, rising (score above the one before), tie_order (equal scores, ids not
+    ascending). Equal ranks go by id. A ranking without any row has no group to report.
+    """
+    text = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+    number = r"^(?i)[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)$"
+    t = df.select(group, text("candidate_id").alias("_id"), text("rank").alias("_rank"), text("score").alias("_score"))
+    t = t.withColumns({"_id_ok": F.col("_id").rlike("^CAND_[0-9]{7}$"), "_r": F.when(F.col("_rank").rlike(r"^(0|-?[1-9]\d*)$"), F.expr("try_cast(_rank as decimal(38,0))")), "_s": F.when(F.col("_score").rlike(number), F.expr("try_cast(_score as double)"))})
+    inside = F.col("_r").between(1, rows)
+    hit = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    ids, ranks = F.count(F.when(F.col("_id_ok"), 1)), F.count(F.when(inside, 1))
+    n_ids, n_ranks = F.count_distinct(F.when(F.col("_id_ok"), F.col("_id"))), F.count_distinct(F.when(inside, F.col("_r")))
+    counts = {
+        "bad_id": F.sum(hit(~F.col("_id_ok"))), "repeated_id": ids - n_ids, "bad_rank": F.sum(hit(F.col("_r").isNull())), "rank_range": F.sum(hit(~inside)), "repeated_rank": ranks - n_ranks,
+        "missing_rank": rows - n_ranks, "row_count": (F.count(F.lit(1)) != rows).cast("bigint"), "bad_score": F.sum(hit(F.col("_s").isNull())),
+    }
+    w = W.partitionBy(group).orderBy("_r", "_id")
+    pairs = t.where((F.col("_id") != "") & F.col("_r").isNotNull() & F.col("_s").isNotNull()).withColumns({"_before": F.lag("_s").over(w), "_above": F.lag("_id").over(w)})
+    plain = ~F.isnan("_s") & ~F.isnan("_before")
+    order = {"rising": F.sum(hit(plain & (F.col("_s") > F.col("_before")))), "tie_order": F.sum(hit(plain & (F.col("_s") == F.col("_before")) & (F.col("_id") < F.col("_above"))))}
+
+    def long(x: DataFrame, codes: dict[str, Column]) -> DataFrame:
+        every = F.array(*(F.struct(F.lit(c).alias("code"), F.col(c).cast("bigint").alias("n")) for c in codes))
+        return x.groupBy(group).agg(*(v.alias(c) for c, v in codes.items())).select(group, F.inline(every)).where("n > 0")
+
+    return long(t, counts).unionByName(long(pairs, order))

@@ -177,8 +177,8 @@ def label_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def output_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with a ranking written out as text: here ranks by unrounded scores, ids repeated as delivered.
 
-    Codes: bad_id, repeated_id, rank_gap (rows of a search fewer than its greatest rank), rising (score above
-    the one before), tie_order (equal scores, ids not ascending).
+    Codes: bad_id, repeated_id, rising (score above the one before), tie_order (equal scores, ids not ascending).
+    The ranks are made here, so they have no gaps; ``ranking_violations`` also checks ranks, rows and numbers.
     """
     rows = table(spark, sf_dir, "feature_rows").where("search_id is not null").select("search_id", "candidate_id", F.coalesce(F.round(F.col("sim_ideal_max").cast("double"), 2), F.lit(0.0)).alias("score"), F.coalesce(F.col("sim_ideal_max").cast("double"), F.lit(0.0)).alias("_s"))
     w = W.partitionBy("search_id").orderBy(F.desc("_s"), "candidate_id")
@@ -198,6 +198,11 @@ def output_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_row.unionByName(twice)
 
 
+def ranking_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All output checks over the final rankings of the searches, which have to hold a hundred rows each."""
+    return ranking.violations(final_ranking(spark, sf_dir), "search_id")
+
+
 _ROWS = "r AS (SELECT DISTINCT ON (search_id, candidate_id) * FROM feature_rows WHERE search_id IS NOT NULL AND candidate_id IS NOT NULL)"
 _GOOD = "good AS (SELECT * FROM label_results WHERE candidate_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score))"
 _GRADES = "grades AS (SELECT unnest([0.0, 0.2, 0.4, 0.6, 0.8, 1.0]::DOUBLE[]) AS g)"
@@ -246,6 +251,7 @@ SELECT search_id, candidate_id, round(d + s + b, 4) AS whole, round(d + s + b -
     "all_known_ids": (all_known_ids, "SELECT candidate_id FROM candidates WHERE candidate_id IS NOT NULL UNION SELECT candidate_id FROM label_results WHERE candidate_id IS NOT NULL UNION SELECT candidate_id FROM feature_rows WHERE candidate_id IS NOT NULL"),
     "missing_places": (missing_places, "SELECT label_id FROM (SELECT unnest(generate_series(1, (SELECT max(label_id) FROM label_results))) AS label_id) WHERE label_id NOT IN (SELECT label_id FROM label_results)"),
     "label_batches": (label_batches, "SELECT run_id, CAST(floor((k - 1) / 10) AS INT) AS batch, count(*) AS n FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY label_id) AS k FROM label_results WHERE run_id IS NOT NULL) GROUP BY 1, 2"),
+    "ranking_violations": (ranking_violations, None),
     "output_violations": (
         output_violations,
         """WITH s AS (SELECT search_id, candidate_id, coalesce(round(CAST(sim_ideal_max AS DOUBLE), 2), 0) AS score, coalesce(CAST(sim_ideal_max AS DOUBLE), 0) AS s FROM feature_rows WHERE search_id IS NOT NULL),
