@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share for checkpoints.
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is
-    used, which is only right while driver and executors share one machine, so any other master is refused.
+    used, which is only right while driver and executors share one machine, so any other master is refused;
+    it is removed when the process ends.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -27,6 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
             if not re.match(r"local(\[|$)", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="quillrank-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
@@ -37,6 +42,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it from there.
+
+    As ``checkpoint``, but compressed by column, read again only in the columns that are asked for, and with the
+    size it really has: a checkpoint keeps the size its plan was guessed at, which can make a join broadcast it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/kept/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def task_count(spark: SparkSession) -> int:
     """Tasks for work that is heavy for its bytes: at least one a core, more where shuffles have more."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
