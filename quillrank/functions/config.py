@@ -24,3 +24,26 @@ QUOTAS = {"top_retrieval_bm25": 200, "top_retrieval_dense": 200, "top_anti_perso
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 # Query over the documents table; one word occurs twice and so counts twice, one is in no document.
 QUERY = ["candidate", "search", "ranking", "search", "the", "zzzunknown", "experience"]
+
+# Stated query texts of the candidate funnel: those wanted first, then those not wanted; the first stands for the whole.
+WANTED_TEXTS = [
+    "engineer who shipped search ranking and retrieval systems to production for many users",
+    "machine learning engineer with embeddings, vector search and evaluation of ranking quality",
+    "data scientist who built recommendation models and measured them in live experiments",
+    "backend engineer who scaled low latency services and data pipelines in python",
+    "researcher in natural language processing who deployed language models",
+]
+UNWANTED_TEXTS = [
+    "marketing manager responsible for campaigns and brand communication",
+    "sales representative for regional accounts and customer visits",
+    "mechanical engineer for plant maintenance and equipment design",
+    "human resources generalist for payroll and staff records",
+    "accountant for invoices, audits and financial reports",
+]
+#: Words that make a title match, and the likeness from which another title is a mismatch worth a look.
+TITLE_WORDS, MISMATCH_FROM = ["engineer", "ml", "ai", "scientist", "research"], 0.3
+#: Lengths of the pools that are cut from an order.
+POOL_TOP = {"top_retrieval_bm25": 500, "top_retrieval_dense": 500, "top_anti_persona_sim": 300, "high_behavioral": 300, "low_behavioral": 300}
+#: Rows that a reranker sees, and rows of the final ranking.
+RERANKED, FINAL = 200, 100
+INVENTED_COMPANIES = ["pied piper", "initech", "wayne enterprises", "stark industries", "dunder mifflin", "umbrella corporation", "soylent", "globex", "hooli", "acme corp"]

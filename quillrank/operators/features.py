@@ -138,8 +138,12 @@ def consistency_features() -> dict[str, Column]:
     return {"consistency_violation_count": F.size("_findings").cast("double"), "is_honeypot": is_implausible(F.col("_findings")).cast("double")}
 
 
+#: The groups of features that need nothing but the record and the columns ``_career_text`` and ``_findings``.
+GROUPS = [skill_features, career_features, education_features, logistics_features, behaviour_features, consistency_features]
+
+
 def feature_frame(df, keys: list[str]):
     """``keys`` and the features that need nothing but the record."""
     prepared = df.withColumns({"_career_text": career_text(), "_findings": findings()})
-    groups = {**skill_features(), **career_features(), **education_features(), **logistics_features(), **behaviour_features(), **consistency_features()}
+    groups = {k: v for group in GROUPS for k, v in group().items()}
     return prepared.select(*keys, *(v.cast("double").alias(k) for k, v in groups.items()))

@@ -26,29 +26,58 @@ def fuse(rankings: list[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.sum("_s").alias("rrf"))
 
 
+def reranked(df: DataFrame, group: list[str], key: str, score: str, head: int, rescored: str | None = None) -> DataFrame:
+    """``df`` with ``order_score`` and ``place``: the first ``head`` rows of each group are ordered anew, the rest follow.
+
+    ``rescored`` is a column with the reranker's score; where it is null for any of a group's head, or there is no
+    reranker, the whole head keeps its order and scores ``head`` down to 1. The rest keeps its own score. Ties
+    go to the smaller key; null scores come last.
+    """
+    before = W.partitionBy(*group).orderBy(F.desc_nulls_last(score), key)
+    ranked = df.withColumn("_k", F.row_number().over(before)).withColumn("_head", F.col("_k") <= head)
+    fallback = (F.lit(head) - F.col("_k") + 1).cast("double")
+    if rescored is not None:
+        failed = F.max(F.when(F.col("_head"), F.col(rescored).isNull())).over(W.partitionBy(*group))
+        fallback = F.when(failed, fallback).otherwise(F.col(rescored))
+    ranked = ranked.withColumn("order_score", F.when(F.col("_head"), fallback).otherwise(F.col(score)))
+    after = W.partitionBy(*group).orderBy(F.desc("_head"), F.desc_nulls_last("order_score"), key)
+    return ranked.withColumn("place", F.row_number().over(after)).drop("_k", "_head")
+
+
 def _slice(score: Column) -> Column:
     """A number that grows with the score, of about 64 steps for each doubling."""
     size = F.when(F.abs(score) < 1e-300, F.lit(0.0)).otherwise((F.log2(F.abs(score)) + 1000) * 64)
     return F.floor(F.when(score < 0, -size).otherwise(size))
 
 
+#: Rows of one value of a group that meet in one task, and how many such values are cut into parts at most (their
+#: list is broadcast; any further ones are left to the planner's skew handling).
+TIED_ROWS, MAX_TIED = 100_000, 10_000
+
+
 def upper_shares(df: DataFrame, group: list[str], item: str, score: str) -> DataFrame:
     """``group``, ``item`` and ``share``: of the group's items, the part that scores at least as high.
 
     Equal scores are counted first, counts are summed within slices of the score's range, slices are added
-    up: no task holds a group, and a group that holds most rows is spread over its slices. Null and NaN
-    scores are worst and share 1. Ties share one value.
+    up: no task holds a group, and a group that holds most rows is spread over its slices. Rows find their value
+    by a join; a value of very many rows is cut into parts, and rows without a score, which match nothing, are
+    spread. Null and NaN scores are worst and share 1. Ties share one value.
     """
-    good = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score)))
-    counts = good.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n")).withColumn("_slice", _slice(F.col(score)))
+    scored = F.col(score).isNotNull() & ~F.isnan(F.col(score))
+    counts = df.where(scored).groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n")).withColumn("_slice", _slice(F.col(score)))
     slices = counts.groupBy(*group, "_slice").agg(F.sum("_n").alias("_in"))
     above = W.partitionBy(*group).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
     slices = slices.select(*group, "_slice", F.coalesce(F.sum("_in").over(above), F.lit(0)).alias("_above"))
     within = W.partitionBy(*group, "_slice").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = counts.withColumn("_run", F.sum("_n").over(within)).join(slices, [*group, "_slice"]).select(*group, score, (F.col("_above") + F.col("_run")).alias("_rank"))
+    ranked = counts.withColumn("_run", F.sum("_n").over(within)).join(slices, [*group, "_slice"])
+    part = F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / TIED_ROWS).cast("int") - 1))
+    ranked = ranked.select(*group, score, (F.col("_above") + F.col("_run")).alias("_rank"), part.alias("_part"))
+    tied = counts.where(F.col("_n") > TIED_ROWS).orderBy(F.desc("_n")).limit(MAX_TIED).select(*group, score, F.ceil(F.col("_n") / TIED_ROWS).cast("int").alias("_parts"))
+    rows = df.join(F.broadcast(tied), [*group, score], "left")
+    spread = F.pmod(F.xxhash64(item), F.coalesce("_parts", F.when(scored, 1).otherwise(1 << 16))).cast("int")
+    rows = rows.select(*group, item, score, spread.alias("_part"))
+    joined = rows.join(ranked, [*group, score, "_part"], "left")
     totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_all"))
-    same = reduce(lambda a, b: a & b, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*group, score]))
-    joined = df.alias("a").join(ranked.alias("b"), same, "left").select(*(F.col(f"a.{c}") for c in [*group, item]), F.col("b._rank"))
     return joined.join(totals, group).select(*group, item, F.coalesce(F.col("_rank") / F.col("_all"), F.lit(1.0)).alias("share"))
 
 

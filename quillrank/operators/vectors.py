@@ -28,10 +28,10 @@ def norm(a: Column) -> Column:
 
 
 def cosines(vectors: DataFrame, queries: DataFrame, key: str, vec: str, qid: str) -> DataFrame:
-    """(key, qid, cos) of all vectors against a few stated queries.
+    """(key, cosines array<struct<qid, cos>>) of all vectors against a few stated queries, without a shuffle.
 
     The queries become one array column, so every vector meets them in its own row; they have to be few
-    (checked) as they travel with the plan.
+    (checked) as they travel with the plan. ``nearest`` takes any number of them.
     """
     rows = queries.select(qid, vec).orderBy(qid).limit(257).collect()
     if len(rows) > 256:
@@ -42,7 +42,7 @@ def cosines(vectors: DataFrame, queries: DataFrame, key: str, vec: str, qid: str
         unit.append((r[qid], [float(x) / size for x in r[vec]]))
     own = vectors.select(key, F.col(vec).cast("array<double>").alias("_v"), norm(F.col(vec)).alias("_n"))
     every = F.array(*(F.struct(F.lit(q).alias(qid), (dot(F.col("_v"), F.array(*map(F.lit, v))) / F.col("_n")).alias("cos")) for q, v in unit))
-    return own.select(key, F.inline(every))
+    return own.select(key, every.alias("cosines"))
 
 
 def _kept(q: np.ndarray, ids: np.ndarray, s: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,9 +95,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vec: str, qid: str
 
 
 def mean_pool(vectors: DataFrame, key: str, vec: str) -> DataFrame:
-    """(key, place, mean) of each dimension; partial sums before the shuffle."""
-    return vectors.select(key, F.posexplode(vec).alias("place", "_x")).groupBy(key, "place").agg(F.avg(F.col("_x").cast("double")).alias("mean"))
+    """(key, mean array<double>) of the vectors of each key; null vectors do not count.
 
-
-def weighted_sum(columns: dict[str, float]) -> Column:
-    return reduce(lambda a, b: a + b, (F.col(c) * w for c, w in columns.items()))
+    Vectors are summed within Arrow batches before the shuffle, so a key on most rows arrives as few rows.
+    """
+    kind = dict(vectors.dtypes)[key]
+    empty = "array<double>"
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            codes, names = pd.factorize(pdf[key], use_na_sentinel=False)
+            x = np.stack(pdf[vec].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
+            sums = np.zeros((len(names), x.shape[1]))
+            np.add.at(sums, codes, x)
+            yield pd.DataFrame({key: names, "_sum": list(sums), "_n": np.bincount(codes, minlength=len(names))})
+
+    parts = vectors.where(F.col(vec).isNotNull()).select(key, vec).mapInPandas(partial, f"`{key}` {kind}, _sum {empty}, _n bigint")
+    places = parts.select(key, "_n", F.posexplode("_sum").alias("_at", "_x")).groupBy(key, "_at").agg((F.sum("_x") / F.sum("_n")).alias("_m"))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "_m")))
+    return places.groupBy(key).agg(F.transform(ordered, lambda e: e["_m"]).alias("mean"))
+
+
+def cosine_product_epsilon(a: Column, b: Column, epsilon: float = 1e-8) -> Column:
+    """The second form of the cosine: the small number is added to the product of the lengths, not to each."""
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + epsilon)

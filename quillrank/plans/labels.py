@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillrank.functions import config as C
-from quillrank.functions.tables import checkpoint, table
+from quillrank.functions.tables import checkpoint, kept, table
 from quillrank.operators import metrics, ranking
 
 MEASURES = ["sim_ideal_max", "bm25_score", "behavioral_composite", "skill_evidence_ratio"]
@@ -63,8 +63,9 @@ def final_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept, as metrics use it several times."""
     scores = _candidate_scores(spark, sf_dir)
-    return _rows(spark, sf_dir).select("search_id", "candidate_id", F.col("sim_ideal_max").cast("double").alias("s")).join(scores, "candidate_id")
+    return kept(_rows(spark, sf_dir).select("search_id", "candidate_id", F.col("sim_ideal_max").cast("double").alias("s")).join(scores, "candidate_id"))
 
 
 def ndcg_by_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,13 +105,16 @@ def _folded(c: str = "stratum"):
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def _drawn(spark: SparkSession, sf_dir: str, quotas: dict[str, int]) -> DataFrame:
-    """Candidates drawn in the fixed order of strata, each at most once, up to a quota a stratum.
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpoint(_labels(spark, sf_dir).where("candidate_id is not null").select("candidate_id", _folded().alias("stratum")).distinct())
+
+
+def _drawn(units: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """Candidates of ``units`` (candidate_id, stratum) drawn in the fixed order of strata, each at most once, up to a quota a stratum.
 
     A candidate goes to the first stratum that takes it. Each stratum is a top-k by a seeded hash of the
     candidates not drawn so far: one anti-join with at most the quotas' sum of ids, broadcast by that bound.
     """
-    units = checkpoint(_labels(spark, sf_dir).where("candidate_id is not null").select("candidate_id", _folded().alias("stratum")).distinct())
     drawn = None
     for name, quota in quotas.items():
         pool = units.where(F.col("stratum") == name)
@@ -124,12 +128,12 @@ def _drawn(spark: SparkSession, sf_dir: str, quotas: dict[str, int]) -> DataFram
 
 
 def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drawn(spark, sf_dir, dict.fromkeys(STRATA, C.QUOTA))
+    return _drawn(_units(spark, sf_dir), dict.fromkeys(STRATA, C.QUOTA))
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelling sample with the reference's own quota of each stratum, 2,500 in all."""
-    return _drawn(spark, sf_dir, C.QUOTAS)
+    return _drawn(_units(spark, sf_dir), C.QUOTAS)
 
 
 STRATA = ["top_retrieval_bm25", "top_retrieval_dense", "top_anti_persona_sim", "title_match_strong", "title_mismatch", "consulting_only", "honeypot_flagged", "high_behavioral", "low_behavioral", "tier1_education", "random"]
@@ -161,10 +165,15 @@ def all_known_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers from 1 to the greatest label id that no label has."""
-    top = _labels(spark, sf_dir).agg(F.max("label_id").alias("m"))
-    every = top.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))).alias("label_id"))
-    return every.join(_labels(spark, sf_dir).select("label_id"), "label_id", "left_anti")
+    """(search_id, from_place, to_place): the runs of places that a search's written ranking lacks, of 1 to its greatest.
+
+    Places are those of the search's rows by one score with all rows of equal score left out but the first, as a
+    ranking with gaps. A run of any length is one row.
+    """
+    rows = _rows(spark, sf_dir).select("search_id", F.round(F.col("sim_ideal_max").cast("double"), 2).alias("s"))
+    places = rows.where("s is not null").withColumn("p", F.rank().over(W.partitionBy("search_id").orderBy(F.desc("s")))).select("search_id", "p").distinct()
+    before = F.coalesce(F.lag("p").over(W.partitionBy("search_id").orderBy("p")), F.lit(0))
+    return places.withColumn("_b", before).where("p > _b + 1").select("search_id", (F.col("_b") + 1).alias("from_place"), (F.col("p") - 1).alias("to_place"))
 
 
 def label_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,12 +224,15 @@ n AS (SELECT search_id,
 _FOLD = "trim(regexp_replace(lower(stratum), '[^a-z0-9]+', '_', 'g'), '_')"
 
 
-def _quota_sql(quotas: dict[str, int]) -> str:
+_UNITS = f"WITH u AS (SELECT DISTINCT candidate_id, {_FOLD} AS stratum FROM label_results WHERE candidate_id IS NOT NULL)"
+
+
+def _quota_sql(quotas: dict[str, int], units: str = _UNITS) -> str:
     parts = [
         f", d{k} AS MATERIALIZED (SELECT candidate_id, stratum FROM u WHERE stratum = '{s}'" + "".join(f" AND candidate_id NOT IN (SELECT candidate_id FROM d{i})" for i in range(k)) + f" ORDER BY md5(candidate_id || '|{s}|42'), candidate_id LIMIT {n})"
         for k, (s, n) in enumerate(quotas.items())
     ]
-    return f"WITH u AS (SELECT DISTINCT candidate_id, {_FOLD} AS stratum FROM label_results WHERE candidate_id IS NOT NULL)" + "".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(len(quotas)))
+    return units + "".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(len(quotas)))
 
 
 
@@ -249,7 +261,7 @@ SELECT search_id, candidate_id, round(d + s + b, 4) AS whole, round(d + s + b -
     "labelled_and_considered": (labelled_and_considered, "SELECT DISTINCT candidate_id FROM label_results WHERE candidate_id IN (SELECT candidate_id FROM feature_rows)"),
     "labelled_not_considered": (labelled_not_considered, "SELECT DISTINCT candidate_id FROM label_results WHERE candidate_id IS NOT NULL AND candidate_id NOT IN (SELECT candidate_id FROM feature_rows WHERE candidate_id IS NOT NULL)"),
     "all_known_ids": (all_known_ids, "SELECT candidate_id FROM candidates WHERE candidate_id IS NOT NULL UNION SELECT candidate_id FROM label_results WHERE candidate_id IS NOT NULL UNION SELECT candidate_id FROM feature_rows WHERE candidate_id IS NOT NULL"),
-    "missing_places": (missing_places, "SELECT label_id FROM (SELECT unnest(generate_series(1, (SELECT max(label_id) FROM label_results))) AS label_id) WHERE label_id NOT IN (SELECT label_id FROM label_results)"),
+    "missing_places": (missing_places, f"WITH {_ROWS}, p AS (SELECT DISTINCT search_id, CAST(rank() OVER (PARTITION BY search_id ORDER BY round(CAST(sim_ideal_max AS DOUBLE), 2) DESC) AS INT) AS p FROM r WHERE sim_ideal_max IS NOT NULL), b AS (SELECT *, coalesce(lag(p) OVER (PARTITION BY search_id ORDER BY p), 0) AS b FROM p) SELECT search_id, CAST(b + 1 AS INT) AS from_place, CAST(p - 1 AS INT) AS to_place FROM b WHERE p > b + 1"),
     "label_batches": (label_batches, "SELECT run_id, CAST(floor((k - 1) / 10) AS INT) AS batch, count(*) AS n FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY label_id) AS k FROM label_results WHERE run_id IS NOT NULL) GROUP BY 1, 2"),
     "ranking_violations": (ranking_violations, None),
     "output_violations": (

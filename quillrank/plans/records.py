@@ -135,12 +135,16 @@ def _case(x: str, scale: dict, default: int) -> str:
     return f"(CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in scale.items()) + f" ELSE {default} END)"
 
 
-CHUNKS_SQL = f"""
-WITH {_JOBS}, parts AS (
+#: The text units of a record, over a table ``jobs``.
+CHUNKS_EVERY = """
+WITH parts AS (
   SELECT record_id, pos AS o, coalesce(j.title, '') || ' at ' || coalesce(j.company, '') || ': ' || j.description AS t FROM jobs WHERE coalesce(j.description, '') <> ''
   UNION ALL SELECT record_id, 1000000, profile.summary FROM candidates WHERE coalesce(profile.summary, '') <> ''
-  UNION ALL SELECT record_id, 1000001, profile.headline FROM candidates WHERE coalesce(profile.headline, '') <> ''),
-every AS (SELECT * FROM parts UNION ALL SELECT record_id, 0, coalesce(profile.current_title, '') FROM candidates WHERE record_id NOT IN (SELECT record_id FROM parts))
+  UNION ALL SELECT record_id, 1000001, profile.headline FROM candidates WHERE coalesce(profile.headline, '') <> '')
+SELECT * FROM parts UNION ALL SELECT record_id, 0, coalesce(profile.current_title, '') FROM candidates WHERE record_id NOT IN (SELECT record_id FROM parts)
+"""
+CHUNKS_SQL = f"""
+WITH {_JOBS}, every AS ({CHUNKS_EVERY})
 SELECT record_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY o) - 1 AS INT) AS chunk_pos, md5(t) AS text_md5 FROM every
 """
 

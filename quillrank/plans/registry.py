@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillrank.plans import employment, labels, nested_tables, records, scoring, search, warehouse
+from quillrank.plans import employment, funnel, labels, nested_tables, records, scoring, search, warehouse
 
-_PAIRS = {**search.QUERIES, **records.QUERIES, **labels.QUERIES, **scoring.QUERIES, **warehouse.QUERIES}
+_PAIRS = {**search.QUERIES, **records.QUERIES, **labels.QUERIES, **scoring.QUERIES, **funnel.QUERIES, **warehouse.QUERIES}
 
 QUERIES = {
     "p1_found": nested_tables.p1_found,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions import config as C
-from quillrank.functions.tables import table
+from quillrank.functions.tables import kept, shared_folder, table
 from quillrank.operators import bm25, ranking, vectors
 from quillrank.operators.text import tokenize
 
@@ -43,8 +45,17 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir).select("doc", "rank")
 
 
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores from an index kept in the shared folder: written at the first call over these tables, then attached."""
+    docs = _docs(spark, sf_dir)
+    index = bm25.index_of(docs, "doc_id", "text", f"{shared_folder(spark)}/index/{md5(sf_dir.encode()).hexdigest()}", sf_dir)
+    return index.scores(" ".join(C.QUERY)).select("doc", F.round("score", 6).alias("score"))
+
+
 def bm25_rank_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = ranking.share_at_most(bm25.scores(_docs(spark, sf_dir), "doc_id", "text", C.QUERY), "doc", "score")
+    # Scored once and kept: shares use the scores three times.
+    scored = kept(bm25.scores(_docs(spark, sf_dir), "doc_id", "text", C.QUERY))
+    shares = ranking.share_at_most(scored, "doc", "score")
     return shares.select("doc", F.round("share", 9).alias("share"))
 
 
@@ -57,23 +68,29 @@ def _cosines(spark: SparkSession, sf_dir: str, ids: range) -> DataFrame:
 def dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each vector: best and mean likeness to wanted, best to unwanted, their contrast, coverage statistics."""
     cos = _cosines(spark, sf_dir, range(0, 10))
-    want, unwant = F.col("qid").isin(*WANTED), F.col("qid").isin(*UNWANTED)
-    six = F.when(F.col("qid") >= 4, F.col("cos"))
-    out = cos.groupBy("vec_id").agg(
-        F.max(F.when(want, F.col("cos"))).alias("best"), F.avg(F.when(want, F.col("cos"))).alias("mean"), F.max(F.when(unwant, F.col("cos"))).alias("worst"), F.max(F.when(F.col("qid") == 0, F.col("cos"))).alias("first"),
-        F.avg(six).alias("cover_mean"), F.min(six).alias("cover_min"), F.stddev_pop(six).alias("cover_std"),
-    )
+    of = lambda test: F.transform(F.filter("cosines", lambda x: test(x["qid"])), lambda x: x["cos"])
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    want, six = of(lambda q: q.isin(*WANTED)), of(lambda q: q >= 4)
+    away = F.transform(six, lambda x: F.pow(x - mean(six), 2))
+    out = cos.select("vec_id", F.array_max(want).alias("best"), mean(want).alias("mean"), F.array_max(of(lambda q: q.isin(*UNWANTED))).alias("worst"), F.array_max(of(lambda q: q == 0)).alias("first"), mean(six).alias("cover_mean"), F.array_min(six).alias("cover_min"), F.sqrt(mean(away)).alias("cover_std"))
     out = out.withColumn("contrast", F.col("best") - 0.4 * F.col("worst"))
     return out.select("vec_id", *(F.round(c, 6).alias(c) for c in ("best", "mean", "worst", "first", "contrast", "cover_mean", "cover_min", "cover_std")))
 
 
 def mean_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = vectors.mean_pool(_embeddings(spark, sf_dir), "label", "embedding")
-    return pooled.select("label", "place", F.round("mean", 6).alias("mean"))
+    return pooled.select("label", F.posexplode("mean").alias("place", "mean")).select("label", "place", F.round("mean", 6).alias("mean"))
+
+
+def likeness_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second form of the cosine, of each vector with the one of id 0; no rows where there is none."""
+    v = _embeddings(spark, sf_dir)
+    first = v.where("vec_id = 0").select(F.col("embedding").alias("_q")).limit(1)
+    return v.join(F.broadcast(first)).select("vec_id", F.round(vectors.cosine_product_epsilon(F.col("embedding"), F.col("_q")), 6).alias("cos"))
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int = TOP_LIST) -> DataFrame:
-    best = _cosines(spark, sf_dir, WANTED).groupBy("vec_id").agg(F.round(F.max("cos"), 9).alias("score"))
+    best = _cosines(spark, sf_dir, WANTED).select("vec_id", F.round(F.array_max(F.col("cosines.cos")), 9).alias("score"))
     return ranking.top_k(best, k, F.desc("score"), "vec_id")
 
 
@@ -147,6 +164,7 @@ _LONG = _LISTS.replace("rank <= 100", f"rank <= {RETRIEVED}")
 QUERIES = {
     "token_counts": (token_counts, "SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1"),
     "bm25_scores": (bm25_scores, _TERMS + " SELECT doc, round(score, 6) AS score FROM bm"),
+    "bm25_indexed": (bm25_indexed, _TERMS + " SELECT doc, round(score, 6) AS score FROM bm"),
     "bm25_top": (bm25_top, _TERMS + "," + _COS + "," + _LISTS + " SELECT doc, CAST(rank AS INT) AS rank FROM lex"),
     "bm25_rank_share": (bm25_rank_share, _TERMS + " SELECT doc, round(cume_dist() OVER (ORDER BY round(score, 9)), 9) AS share FROM bm"),
     "dense_scores": (
@@ -157,6 +175,7 @@ QUERIES = {
 SELECT vec_id, round(best, 6) AS best, round(mean, 6) AS mean, round(worst, 6) AS worst, round(first, 6) AS first, round(best - 0.4 * worst, 6) AS contrast, round(cover_mean, 6) AS cover_mean, round(cover_min, 6) AS cover_min, round(cover_std, 6) AS cover_std FROM a""",
     ),
     "mean_pooled": (mean_pooled, "SELECT label, CAST(place - 1 AS INT) AS place, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings) GROUP BY 1, 2"),
+    "likeness_to_first": (likeness_to_first, "SELECT a.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) + 1e-8), 6) AS cos FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) AS a, (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0) AS b"),
     "dense_top": (dense_top, "WITH " + _COS + " SELECT vec_id, CAST(row_number() OVER (ORDER BY round(max(cos), 9) DESC, vec_id) AS INT) AS rank FROM cos WHERE qid < 5 GROUP BY 1 QUALIFY rank <= 100"),
     "hybrid_top": (
         hybrid_top,
