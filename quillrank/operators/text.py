@@ -59,6 +59,24 @@ def half_even(x: Column) -> Column:
     return F.bround(x, 0).cast("bigint").cast("string")
 
 
+def percent(x: Column) -> Column:
+    """A share as whole percents, halves to the even side."""
+    return F.concat(half_even(x * 100), F.lit("%"))
+
+
+def year_month(text: Column) -> Column:
+    """The year and month of a date as written; empty for null."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, 7)
+
+
+def profile_text() -> Column:
+    """A profile as running text: headline, summary, jobs with kind of company and description, skill names; empty parts are dropped."""
+    both = lambda a, b, c: F.concat(F.coalesce(a, F.lit("")), F.lit(" at "), F.coalesce(b, F.lit("")), F.lit(": "), F.coalesce(c, F.lit("")))
+    jobs = F.transform(entries("career_history"), lambda j: both(j["title"], j["company_size"], j["description"]))
+    parts = F.concat(F.array("profile.headline", "profile.summary"), jobs, F.transform(entries("skills"), lambda s: s["name"]))
+    return F.array_join(F.filter(parts, lambda x: F.coalesce(x != "", F.lit(False))), " ")
+
+
 def rerank_passage(limit: int = 512) -> Column:
     """Summary, headline and the first three descriptions, 200 characters of each, cut to ``limit``."""
     first = F.transform(F.slice(entries("career_history"), 1, 3), lambda j: F.substring(j["description"], 1, 200))

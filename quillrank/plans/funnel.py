@@ -170,8 +170,6 @@ def _vectors_sql() -> str:
 
 
 _LATEST = "latest AS (SELECT arg_max(record_id, (received_at, record_id)) AS record_id FROM candidates WHERE candidate_id IS NOT NULL GROUP BY candidate_id), own AS (SELECT * FROM candidates WHERE record_id IN (SELECT record_id FROM latest))"
-_ITEXT = """itext AS (SELECT record_id, array_to_string(list_filter(list_concat([profile.headline, profile.summary, profile.current_title],
-  flatten(list_transform(list_filter(coalesce(career_history, []), lambda j: j IS NOT NULL), lambda j: [j.title, j.description])), list_transform(list_filter(coalesce(skills, []), lambda s: s IS NOT NULL), lambda s: s.name)), lambda x: x IS NOT NULL), ' ') AS text FROM {source})"""
 _SEM = f"""every AS ({records.CHUNKS_EVERY}),
 words AS (SELECT record_id, o, md5(unnest(regexp_extract_all(lower(t), '[a-z0-9]+'))) AS h FROM every),
 vec AS (SELECT record_id, o, CAST('0x' || substr(h, 1, 2) AS INT) % {embedding.DIM} AS d, sum(CASE WHEN CAST('0x' || substr(h, 3, 1) AS INT) % 2 = 1 THEN 1 ELSE -1 END) AS x FROM words GROUP BY 1, 2, 3),
@@ -201,7 +199,7 @@ hit AS (
   SELECT p.doc, sum(idf.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * l.length / (SELECT avg(length) FROM lens)))) AS s
   FROM query AS q JOIN posts AS p USING (term) JOIN idf USING (term) JOIN lens AS l ON l.doc = p.doc GROUP BY 1),
 bm AS (SELECT lens.doc AS record_id, round(coalesce(s, 0), 9) AS bm25_score FROM lens LEFT JOIN hit ON hit.doc = lens.doc)"""
-_RETRIEVE = f"WITH {records._JOBS.replace('FROM candidates', 'FROM own').replace('jobs AS', _LATEST + ', jobs AS', 1)}, {_ITEXT.format(source='own')}, {_SEM.replace('FROM candidates', 'FROM own')}, {_BM}"
+_RETRIEVE = f"WITH {records._JOBS.replace('FROM candidates', 'FROM own').replace('jobs AS', _LATEST + ', jobs AS', 1)}, {records._ITEXT.format(source='own')}, {_SEM.replace('FROM candidates', 'FROM own')}, {_BM}"
 _HYBRID = f"""{_RETRIEVE},
 lex AS (SELECT record_id, row_number() OVER (ORDER BY bm25_score DESC, record_id) AS rank FROM bm QUALIFY rank <= {RETRIEVED}),
 den AS (SELECT record_id, row_number() OVER (ORDER BY round(dense_score, 6) DESC, record_id) AS rank FROM dense QUALIFY rank <= {RETRIEVED}),
@@ -245,8 +243,6 @@ n AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY s DESC NULLS
 o AS (SELECT *, CASE WHEN k <= 50 THEN CAST(50 - k + 1 AS DOUBLE) ELSE s END AS order_score FROM n)
 SELECT search_id, candidate_id, order_score, CAST(row_number() OVER (PARTITION BY search_id ORDER BY k <= 50 DESC, order_score DESC NULLS LAST, candidate_id) AS INT) AS place FROM o
 """
-INDEX_TEXT_SQL = f"WITH {_ITEXT.format(source='candidates')} SELECT record_id, md5(text) AS text_md5, CAST(length(text) AS INT) AS n_chars FROM itext"
-
 QUERIES = {
     "candidate_bm25": (candidate_bm25, _HYBRID + " SELECT record_id, CAST(rank AS INT) AS rank FROM lex"),
     "candidate_dense": (candidate_dense, _RETRIEVE + " SELECT record_id, round(dense_score, 6) AS dense_score, round(anti_score, 6) AS anti_score FROM dense"),

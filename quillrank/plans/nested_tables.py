@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions.tables import table
-from quillrank.operators.shredding import places, shred
-from quillrank.sources.payloads import NAMING_FIELD, payload_record
+from quillrank.operators.shredding import assemble, places, shred
+from quillrank.sources.payloads import NAMING_FIELD, payload_records
 
 ROOTS = ["career_history", "education", "skills", "redrob_signals"]
 
@@ -45,14 +45,38 @@ def child_entries(records: DataFrame, key: str = "record_id") -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "candidates").select("record_id", *ROOTS)
-    lines = table(spark, sf_dir, "candidate_lines").select("record_id", payload_record(F.col("payload")).alias("_r"))
-    raw = lines.where("_r is not null").select("record_id", *(F.col(f"_r.{x}").alias(x) for x in ROOTS))
+    raw = payload_records(table(spark, sf_dir, "candidate_lines"), "record_id", "payload").select("record_id", *ROOTS)
     return child_entries(stored).unionByName(child_entries(raw))
 
 
 def child_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One whole child table of ``candidates`` with all its leaves, parent key and place."""
-    from quillrank.operators.shredding import assemble
-
     levels, found = shred(table(spark, sf_dir, "candidates").select("record_id", name), [name], ["record_id"])
     return assemble(levels, found, name, ["record_id"])
+
+
+def child_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return child_table(spark, sf_dir, "skills")
+
+
+def level_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each leaf of the jobs: entries by repetition and definition level."""
+    levels, found = shred(table(spark, sf_dir, "candidates").select("record_id", "career_history"), ["career_history"], ["record_id"])
+    each = F.flatten(F.array(*(_tagged(x.path) for x in found)))
+    return levels.select(F.inline(each)).groupBy("path", "r", "d").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _tagged(path: str):
+    return F.transform(F.col(f"`{path}`"), lambda e: F.struct(F.lit(path).alias("path"), e["r"].alias("r"), e["d"].alias("d")))
+
+
+CHILD_SKILLS_SQL = """
+SELECT record_id, CAST(k - 1 AS INT) AS item_no, s.name AS name, s.proficiency AS proficiency, s.endorsements AS endorsements, s.duration_months AS duration_months
+FROM (SELECT record_id, unnest(skills) AS s, generate_subscripts(skills, 1) AS k FROM candidates)
+"""
+_JOB_FIELDS = ["title", "company", "industry", "company_size", "description", "duration_months", "start_date", "end_date", "is_current"]
+LEVELS_SQL = """
+WITH e AS (SELECT unnest(career_history) AS j, generate_subscripts(career_history, 1) AS k FROM candidates),
+l AS (
+  SELECT 0 AS r, CASE WHEN career_history IS NULL THEN 0 ELSE 1 END AS d, NULL AS f FROM candidates WHERE coalesce(len(career_history), 0) = 0)
+""" + " UNION ALL ".join(f"SELECT 'career_history.{f}' AS path, r, d, count(*) AS n FROM (SELECT r, d FROM l UNION ALL SELECT CASE WHEN k = 1 THEN 0 ELSE 1 END, CASE WHEN j IS NULL THEN 2 WHEN j.{f} IS NULL THEN 3 ELSE 4 END FROM e) GROUP BY 1, 2, 3" for f in _JOB_FIELDS)

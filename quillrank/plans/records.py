@@ -83,7 +83,7 @@ def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least, mean, greatest value and share of non-zero values of every record feature, as rows."""
     frame = features.feature_frame(_candidates(spark, sf_dir), ["record_id"])
     names = [c for c in frame.columns if c != "record_id"]
-    long = frame.select(F.explode(F.create_map(*(x for n in names for x in (F.lit(n), F.col(n))))).alias("feature", "v"))
+    long = frame.select(F.explode(F.create_map(*(x for n in names for x in (F.lit(n), F.round(n, 6))))).alias("feature", "v"))
     return long.groupBy("feature").agg(F.round(F.min("v"), 6).alias("least"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.max("v"), 6).alias("most"), F.round(F.avg((F.col("v") != 0).cast("int")), 6).alias("nonzero"))
 
 
@@ -276,9 +276,20 @@ SELECT proficiency, any_value(n) AS n, round(avg(v), 4) AS mean, min(v) AS least
 FROM r GROUP BY 1
 """
 
+_ITEXT = """itext AS (SELECT record_id, array_to_string(list_filter(list_concat([profile.headline, profile.summary, profile.current_title],
+  flatten(list_transform(list_filter(coalesce(career_history, []), lambda j: j IS NOT NULL), lambda j: [j.title, j.description])), list_transform(list_filter(coalesce(skills, []), lambda s: s IS NOT NULL), lambda s: s.name)), lambda x: x IS NOT NULL), ' ') AS text FROM {source})"""
+INDEX_TEXT_SQL = f"WITH {_ITEXT.format(source='candidates')} SELECT record_id, md5(text) AS text_md5, CAST(length(text) AS INT) AS n_chars FROM itext"
+SUMMARY_SQL = f"""
+WITH g1 AS ({SKILL_SQL}), g2 AS ({CAREER_SQL}), g3 AS ({EDUCATION_SQL}), g4 AS ({LOGISTICS_SQL}), g5 AS ({BEHAVIOUR_SQL}),
+g6 AS (SELECT record_id, CAST(n_findings AS DOUBLE) AS consistency_violation_count, CAST(is_implausible AS DOUBLE) AS is_honeypot FROM ({ROLLUP_SQL})),
+wide AS (SELECT * FROM g1 JOIN g2 USING (record_id) JOIN g3 USING (record_id) JOIN g4 USING (record_id) JOIN g5 USING (record_id) JOIN g6 USING (record_id)),
+long AS (UNPIVOT wide ON COLUMNS(* EXCLUDE (record_id)) INTO NAME feature VALUE v)
+SELECT feature, round(min(v), 6) AS least, round(avg(v), 6) AS mean, round(max(v), 6) AS most, round(avg(CAST(v <> 0 AS INT)), 6) AS nonzero FROM long GROUP BY 1
+"""
+
 QUERIES = {
     "record_chunks": (record_chunks, CHUNKS_SQL),
-    "record_index_text": (record_index_text, None),
+    "record_index_text": (record_index_text, INDEX_TEXT_SQL),
     "latest_delivery": (latest_delivery, LATEST_SQL),
     "record_findings": (record_findings, FINDINGS_SQL),
     "record_rollup": (record_rollup, ROLLUP_SQL),
@@ -290,7 +301,7 @@ QUERIES = {
     "education_features": (education_features, EDUCATION_SQL),
     "logistics_features": (logistics_features, LOGISTICS_SQL),
     "behaviour_features": (behaviour_features, BEHAVIOUR_SQL),
-    "feature_summary": (feature_summary, None),
+    "feature_summary": (feature_summary, SUMMARY_SQL),
     "skill_level_scores": (latest_skill_levels, LEVELS_SQL),
     "expert_threshold_sweep": (expert_threshold_sweep, SWEEP_SQL),
 }

@@ -11,10 +11,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # The lists of a record, the field that names an entry, and their fields.
 LIST_FIELDS = {
@@ -95,8 +95,8 @@ def _row(entry: dict | None, fields: list[str]) -> dict | None:
     return None if entry is None else {f: _scalar(entry.get(f)) for f in fields}
 
 
-def normalise_payload(line: str | None) -> str | None:
-    """The record of one line in the fixed shape as JSON text, or null where the line is no record."""
+def normalise_payload(line: str | None) -> dict | None:
+    """The record of one line in the fixed shape, or null where the line is no record."""
     if line is None:
         return None
     try:
@@ -127,14 +127,25 @@ def normalise_payload(line: str | None) -> str | None:
             "expected_salary_range_inr_lpa": _row(salary, ["min", "max"]) if isinstance(salary, dict) else None,
         }
         break
-    return json.dumps(out, ensure_ascii=False)
+    return out
 
 
-def _normalised(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in lines:
-        yield pd.Series([normalise_payload(x) for x in part], index=part.index, dtype=object)
+def payload_records(lines: DataFrame, key: str, payload: str) -> DataFrame:
+    """``key`` and the columns of PAYLOAD_SCHEMA of every line that is a record; broken, null and empty lines give none.
 
+    Lines go through Python once and come back as columns.
+    """
+    schema = T.StructType([lines.schema[key], *T.DataType.fromDDL(PAYLOAD_SCHEMA).fields])
+    kinds = to_arrow_schema(schema)
 
-def payload_record(line: Column) -> Column:
-    """struct of PAYLOAD_SCHEMA; null for lines that are not valid JSON, and for null or empty ones."""
-    return F.from_json(F.pandas_udf(_normalised, T.StringType())(line), PAYLOAD_SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, found = [], []
+            for k, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                record = normalise_payload(line)
+                if record is not None:
+                    keys.append(k)
+                    found.append(record)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kinds.field(0).type), *(pa.array([r.get(f.name) for r in found], f.type) for f in list(kinds)[1:])], schema=kinds)
+
+    return lines.select(key, payload).mapInArrow(run, schema)
