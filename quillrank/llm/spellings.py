@@ -17,9 +17,9 @@ SHORT_FORMS = {
     "company": {"it": "technologies", "infotech": "technologies", "tech": "technologies", "techs": "technologies", "techno": "technologies", "technology": "technologies", "health": "healthcare", "care": "healthcare", "labs": "laboratories", "lab": "laboratories", "insurers": "insurance", "consultants": "consulting", "consultancy": "consulting", "industrial": "industries", "industry": "industries", "financial": "finance", "inds": "industries", "sw": "software", "softwares": "software"},
     "institution": {"univ": "university", "uni": "university", "varsity": "university", "mgmt": "management", "mgt": "management", "tech": "technology", "engg": "engineering", "engr": "engineering", "clg": "college", "collage": "college", "sch": "school", "schl": "school", "poly": "polytechnic", "inst": "institute", "instt": "institute", "women": "womens", "woman": "womens", "natl": "national", "nat": "national", "nal": "national", "sci": "science", "sc": "science", "comm": "commerce", "com": "commerce", "bus": "business", "biz": "business", "dsgn": "design", "des": "design"},
 }
-LEGAL = ["pvt", "private", "ltd", "limited", "inc", "incorporated", "llp", "llc", "plc", "corp", "corporation", "co", "company", "gmbh", "ag", "sa", "bv", "pty", "pte"]
-REMARKS = ["office", "campus", "branch", "main", "autonomous", "hq", "headquarters", "deemed", "the", "of", "and", "for", "at", "in", "n"]
-PLACES = ["india", "usa", "uk", "canada", "germany", "chennai", "jaipur", "hyderabad", "toronto", "indore", "pune", "kochi", "austin", "ahmedabad", "noida", "bengaluru", "bangalore", "berlin", "mumbai", "leeds", "kolkata", "gurugram", "gurgaon", "delhi", "london", "singapore", "dubai", "boston", "chicago", "dallas", "seattle", "munich", "hamburg", "vancouver", "montreal", "manchester", "lucknow", "bhopal", "nagpur", "surat", "coimbatore", "mysuru", "chandigarh"]
+LEGAL = ("pvt", "private", "ltd", "limited", "inc", "incorporated", "llp", "llc", "plc", "corp", "corporation", "co", "company", "gmbh", "ag", "sa", "bv", "pty", "pte")
+REMARKS = ("office", "campus", "branch", "main", "autonomous", "hq", "headquarters", "deemed", "the", "of", "and", "for", "at", "in", "n")
+PLACES = ("india", "usa", "uk", "canada", "germany", "chennai", "jaipur", "hyderabad", "toronto", "indore", "pune", "kochi", "austin", "ahmedabad", "noida", "bengaluru", "bangalore", "berlin", "mumbai", "leeds", "kolkata", "gurugram", "gurgaon", "delhi", "london", "singapore", "dubai", "boston", "chicago", "dallas", "seattle", "munich", "hamburg", "vancouver", "montreal", "manchester", "lucknow", "bhopal", "nagpur", "surat", "coimbatore", "mysuru", "chandigarh")
 NO_ORGANISATION = ["selfemployed", "freelance", "freelancer", "freelancing", "confidential", "undisclosed", "notdisclosed", "stealthstartup", "stealth", "startup", "stealthmode", "na", "none", "nil", "null", "unknown", "notapplicable", "various", "independent", "unemployed", "careerbreak", "homeschooled", "tbd", "other", "others", "selftaught"]
 
 _SPECIAL = str.maketrans({"ß": "ss", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "œ": "oe", "ł": "l", "Ł": "L", "đ": "d", "ı": "i"})
@@ -96,8 +96,19 @@ def _squeezed(short: str, word: str) -> bool:
     return kept * 2 <= there and len(short) >= 3
 
 
-def _is_near(token: str, words: list[str]) -> bool:
-    return token in words or (len(token) >= 6 and any(abs(len(w) - len(token)) <= 1 and len(w) >= 6 and any(True for _ in Trie([w]).near(token, 1)) for w in words))
+@lru_cache(None)
+def _nothing() -> Trie:
+    return Trie(NO_ORGANISATION)
+
+
+@lru_cache(None)
+def _long(words: tuple[str, ...]) -> Trie:
+    return Trie(w for w in words if len(w) >= 6)
+
+
+@lru_cache(1 << 16)
+def _is_near(token: str, words: tuple[str, ...]) -> bool:
+    return token in words or (len(token) >= 6 and any(True for _ in _long(words).near(token, 1)))
 
 
 @lru_cache(1 << 16)
@@ -143,6 +154,6 @@ def parse_name(name: str, field: str) -> tuple[str, str, list[str], str]:
                 words.append(part)
                 initials += part[0]
     whole = "".join(words)
-    if not whole or whole in NO_ORGANISATION or (len(whole) >= 6 and any(True for _ in Trie(NO_ORGANISATION).near(whole, 1))):
+    if not whole or whole in NO_ORGANISATION or (len(whole) >= 6 and any(True for _ in _nothing().near(whole, 1))):
         return "", "", [], ""
     return "+".join(sorted(set(kinds))), "", words, initials
