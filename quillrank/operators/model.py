@@ -7,6 +7,7 @@ paths, so that contributions and the base value sum to the prediction.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,12 @@ import pandas as pd
 from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.functions.tables import checkpoint
+from quillrank.operators import metrics
+
 #: Fixed values of the training run.
 DEPTH, STEP, MIN_ROWS, SUBSAMPLE, COLUMNS, SEED = 6, 0.05, 5, 0.8, "0.8", 42
 #: Rounds without a smaller error on the held-out rows that end the growing.
@@ -80,6 +84,33 @@ def importances(model: GBTRegressionModel, features: list[str], k: int = 15) ->
     return [(f, float(g)) for f, g in gains[:k]]
 
 
+def save(model: GBTRegressionModel, features: list[str], path: str) -> None:
+    """The model and the names of its features, in their order."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(features),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/features")
+
+
+def load(path: str) -> tuple[GBTRegressionModel, list[str]]:
+    return GBTRegressionModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/features").head()[0])
+
+
+def ablations(df: DataFrame, features: list[str], label: str, without: dict[str, list[str]], rounds: int, validation: str) -> DataFrame:
+    """(mode, rounds, rmse, ndcg_10, ndcg_50): a model trained anew for the whole and for each set of features put to
+    zero, judged on the rows of ``validation``, which are one ranking."""
+    key = F.monotonically_increasing_id()
+    out = []
+    for mode, gone in {"full": [], **without}.items():
+        cut = df.withColumns({f: F.lit(0.0) for f in gone})
+        fitted = train(cut, features, label, rounds, validation)
+        held = checkpoint(predict(fitted, cut.where(F.col(validation)), features, "_score").select(F.col("_score").alias("guess"), F.col(label).cast("double").alias("truth"), F.lit(0).alias("ranking"), key.alias("row_no")))
+        by = [F.desc("guess"), F.col("row_no")]
+        at = {k: metrics.ndcg(held, "ranking", by, "truth", k).head() for k in (10, 50)}
+        rmse = held.agg(F.sqrt(F.avg(F.pow(F.col("guess") - F.col("truth"), 2))).alias("e")).head()["e"]
+        out.append((mode, fitted.getNumTrees, rmse, *(at[k]["ndcg"] if at[k] else None for k in (10, 50))))
+    return df.sparkSession.createDataFrame(out, "mode string, rounds int, rmse double, ndcg_10 double, ndcg_50 double")
+
+
 def nodes(model: GBTRegressionModel) -> list[dict]:
     """Per tree its weight and arrays: feature (-1 at a leaf), threshold, left, right, value, cover."""
     out = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.functions.config import BEHAVIOURAL
 from quillrank.functions.tables import checkpoint, table
 from quillrank.operators import model
 from quillrank.operators.text import entries, labelling_payload, rerank_passage
@@ -29,8 +30,15 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).join(_candidate_scores(spark, sf_dir), "candidate_id").select("candidate_id", "label", held_out().alias("held_out"), *FEATURES)
 
 
+_TRAINED: dict[tuple[str, str], model.GBTRegressionModel] = {}
+
+
 def trained(spark: SparkSession, sf_dir: str) -> model.GBTRegressionModel:
-    return model.train(checkpoint(_training(spark, sf_dir)), FEATURES, "label", ROUNDS, "held_out")
+    """The model of these tables: trained at the first call of an application, then taken again. Tables are not written to."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = model.train(checkpoint(_training(spark, sf_dir)), FEATURES, "label", ROUNDS, "held_out")
+    return _TRAINED[key]
 
 
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +54,36 @@ def model_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("row_key", "bias", "contributions", F.array_join(low["feature"], ",").alias("lowered_by"))
 
 
+def model_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether bias and contributions of each considered row add up to its score."""
+    booster = trained(spark, sf_dir)
+    rows = _rows(spark, sf_dir).select(F.concat_ws("|", "search_id", "candidate_id").alias("row_key"), *FEATURES)
+    scores = model.predict(booster, rows, FEATURES).select("row_key", "score")
+    parts = model.contributions(booster, rows, FEATURES, "row_key").select("row_key", (F.col("bias") + F.aggregate("contributions", F.lit(0.0), lambda s, x: s + x)).alias("whole"), F.size("contributions").alias("n_features"))
+    return scores.join(parts, "row_key").select("row_key", "n_features", (F.abs(F.col("score") - F.col("whole")) < 1e-6).alias("adds_up"))
+
+
+def feature_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen features of greatest gain."""
+    gains = model.importances(trained(spark, sf_dir), FEATURES)
+    return spark.createDataFrame([(k + 1, f, g) for k, (f, g) in enumerate(gains)], "place int, feature string, gain double")
+
+
+#: Features put to zero in each ablation.
+ABLATIONS = {
+    "no_behavioral": BEHAVIOURAL,
+    "no_anti_persona": ["sim_anti_max", "semantic_contrastive"],
+    "no_consistency": ["consistency_violation_count"],
+    "bm25_only": [f for f in FEATURES if f.startswith("sim_") or "dense" in f],
+    "dense_only": ["bm25_score", "bm25_rank_pct"],
+}
+
+
+def ablation_runs(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> DataFrame:
+    """A model trained anew without each group of features, and its quality on the held-out side."""
+    return model.ablations(checkpoint(_training(spark, sf_dir)), FEATURES, "label", ABLATIONS, rounds, "held_out")
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "candidates").select("record_id", F.md5(rerank_passage()).alias("passage_md5"), F.length(rerank_passage()).alias("n_chars"))
 
@@ -69,6 +107,8 @@ _JOBS = "jobs AS (SELECT record_id, pos, j FROM (SELECT record_id, unnest(career
 QUERIES = {
     "model_scores": (model_scores, None),
     "model_contributions": (model_contributions, None),
+    "model_sums": (model_sums, "SELECT DISTINCT concat_ws('|', search_id, candidate_id) AS row_key, 48 AS n_features, true AS adds_up FROM feature_rows WHERE search_id IS NOT NULL AND candidate_id IS NOT NULL"),
+    "feature_gains": (feature_gains, None),
     "rerank_passages": (
         passages,
         f"""WITH {_JOBS}, n AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY pos) AS k FROM jobs),

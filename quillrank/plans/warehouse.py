@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillrank.functions.tables import table
 from quillrank.operators.features import notice_penalty, yoe_fit
 from quillrank.operators.text import any_contains, count_contains, either_contains
+from quillrank.plans.records import ROLLUP_SQL
 
 KEYWORDS = ["hot", "gear", "bolt", "red", "ring"]
 
@@ -74,12 +75,20 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_events_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts from a stream over the table's file."""
-    from quillrank.streaming.events import event_stream, run_to_memory, windowed_counts
+    from quillrank.streaming.events import file_stream, run_to_table, windowed_counts
 
-    out = run_to_memory(windowed_counts(event_stream(spark, f"{sf_dir}/events.parquet")), "hourly_events_streamed")
+    out = run_to_table(windowed_counts(file_stream(spark, f"{sf_dir}/events.parquet")), "complete")
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
+def records_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each record of a stream of candidates is implausible."""
+    from quillrank.streaming.events import checked_records, file_stream, run_to_table
+
+    out = run_to_table(checked_records(file_stream(spark, f"{sf_dir}/candidates.parquet")), "append")
+    return out.select("record_id", "is_implausible", F.size("findings").alias("n_findings"))
+
+
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a user's events with gaps of at most an hour."""
     e = table(spark, sf_dir, "events").withColumn("_t", F.col("ts").cast("timestamp"))
@@ -135,6 +144,7 @@ SELECT user_id, round(r, 6) AS recency, round(least(1.1::DOUBLE, greatest(0.0::D
     "event_properties": (event_properties, f"SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS most FROM {_E} GROUP BY 1"),
     "hourly_events": (hourly_events, _HOURS),
     "hourly_events_streamed": (hourly_events_streamed, _HOURS),
+    "records_streamed": (records_streamed, f"SELECT record_id, is_implausible = 1 AS is_implausible, n_findings FROM ({ROLLUP_SQL})"),
     "user_sessions": (
         user_sessions,
         """WITH g AS (SELECT user_id, ts, event_id, CAST(coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR, true) AS INT) AS fresh FROM events),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +26,30 @@ def is_json_array(spark: SparkSession, path: str) -> bool:
 
 
 def read_candidates(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Candidates of a JSON-lines file or of one JSON array; blank lines are skipped.
+    """Candidates of JSON-lines files or of files with one JSON array; blank lines are skipped.
 
-    Broken records keep their text in ``_corrupt_record``; with ``strict`` they end the read. Any file system
-    that Spark reads will do.
+    A folder may hold both: names in .jsonl or .ndjson are lines, the rest is told by its first character. Broken
+    records keep their text in ``_corrupt_record``; with ``strict`` they end the read. Any file system that
+    Spark reads will do.
     """
     schema = T.StructType.fromDDL(CANDIDATE_DDL).add(CORRUPT, T.StringType())
-    reader = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.option("multiLine", is_json_array(spark, path)).json(path)
+    reader = lambda: spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    if re.search(r"\.(jsonl|ndjson)$", path):
+        return reader().json(path)
+    if re.search(r"\.json$", path):
+        return reader().option("multiLine", is_json_array(spark, path)).json(path)
+    named = {glob: spark.read.option("pathGlobFilter", glob).text(path) for glob in ("*.{jsonl,ndjson}", "*.json")}
+    if all(df.isEmpty() for df in named.values()):
+        return reader().option("multiLine", is_json_array(spark, path)).json(path)
+    lists = bool(first) and first[0].startswith("[") if (first := named["*.json"].where(F.trim("value") != "").limit(1).select(F.ltrim("value")).head()) else False
+    return reader().option("pathGlobFilter", "*.{jsonl,ndjson}").json(path).unionByName(reader().option("pathGlobFilter", "*.json").option("multiLine", lists).json(path))
+
+
+def read_candidate_list(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_candidates`` of one file whose top level has to be a list; a ValueError if it is not."""
+    if not is_json_array(spark, path):
+        raise ValueError(f"{path}: the top level has to be a list")
+    return read_candidates(spark, path, strict=True)
 
 
 def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -70,3 +88,31 @@ def drive_id(url):
     """The file id in a shared-drive address; null for others."""
     out = F.coalesce(F.nullif(F.regexp_extract(url, r"/d/([a-zA-Z0-9_-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"[?&]id=([a-zA-Z0-9_-]+)", 1), F.lit("")))
     return out
+
+
+def read_finalists(spark: SparkSession, path: str) -> DataFrame:
+    """(candidate_id, rank) of a ranking written as CSV with a header; rows without a value in any cell are skipped."""
+    rows = spark.read.option("header", True).csv(path)
+    filled = rows.where(F.trim(F.concat_ws("", *rows.columns)) != "")
+    return filled.select(F.trim("candidate_id").alias("candidate_id"), F.expr("try_cast(trim(rank) AS int)").alias("rank"))
+
+
+def read_artifact(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A kept table, or an empty one of the schema where it is missing."""
+    try:
+        return spark.read.schema(ddl).parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], ddl)
+
+
+def read_text(spark: SparkSession, path: str, fallback: str = "") -> str:
+    """A text document whole, or the fallback where it is missing or blank. For parameters, such as a role's text."""
+    try:
+        row = spark.read.text(path, wholetext=True).head()
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        row = None
+    return row[0] if row and row[0].strip() else fallback

@@ -27,3 +27,20 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 def append_row(df: DataFrame, path: str) -> None:
     """One more row of a log table, such as the result of an ablation."""
     df.coalesce(1).write.mode("append").parquet(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines: a sample for labelling, or stated texts with their marks."""
+    df.write.mode("overwrite").json(path)
+
+
+def ranking_lines(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """(rank, line): a ranking as CSV text, scores with six places; the first ``rows`` or all. Cells are quoted where needed."""
+    top = df.orderBy("rank").limit(rows) if rows is not None else df
+    cells = F.struct("candidate_id", "rank", F.format_string("%.6f", F.bround(F.col("score").cast("double"), 6)).alias("score"), F.coalesce("reasoning", F.lit("")).alias("reasoning"))
+    return top.select("rank", F.to_csv(cells).alias("line"))
+
+
+def id_lines(df: DataFrame) -> DataFrame:
+    """The distinct ids alone, one a line."""
+    return df.select(F.col("candidate_id").alias("line")).where("line is not null").distinct()

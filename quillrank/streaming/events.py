@@ -12,8 +12,8 @@ from quillrank.functions.tables import shared_folder
 from quillrank.operators import consistency
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The events table as a stream of files; ``ts`` is event time."""
+def file_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A table as a stream of its files."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
@@ -32,12 +32,19 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
 
 def checked_records(records: DataFrame) -> DataFrame:
     """Findings of each arriving record: stateless, the same on a stream and on a table."""
-    return records.select("candidate_id", consistency.findings().alias("findings")).withColumn("is_implausible", consistency.is_implausible(F.col("findings")))
+    return records.select("record_id", consistency.findings().alias("findings")).withColumn("is_implausible", consistency.is_implausible(F.col("findings")))
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all there is into an in-memory table (for tests and small results)."""
-    kept = f"{shared_folder(df.sparkSession)}/streams/{uuid4().hex}"
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", kept).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_table(df: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over all there is into a table in the shared folder and read it.
+
+    ``complete``: each batch replaces the result; ``append``: each batch has a folder of its own, which a batch
+    that is run again after a failure replaces, so rows come once.
+    """
+    spark, kept = df.sparkSession, f"{shared_folder(df.sparkSession)}/streams/{uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{kept}/rows/batch={0 if mode == 'complete' else number}")
+
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{kept}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{kept}/rows/batch=*")
