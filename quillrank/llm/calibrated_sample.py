@@ -1,15 +1,18 @@
 """p4: a sample whose strata follow given shares, with minimum rows, and the targets that cannot be met.
 
-1. Labels are folded to strata and each run's candidates become units with a bit mask of their strata.
+1. Labels are folded to strata and each run's candidates become units with the set of their strata ("mask":
+   their numbers in order, as text).
 2. Category moments are aggregated: the number of units of each run and mask. What goes on is a run's masks,
    not its units.
+   A target is out of reach where the tilting towards all targets, with probabilities of at most 1, leaves a
+   stratum's moment short of it: its masks are all at 1 then. That is what ``p4_found`` reports.
 3. The wanted counts are what the run can give: floors first, what a stratum lacks is shared among those
    with units to spare. Units' probabilities exp(x . lambda), at most 1, are calibrated to the wanted counts
    by Newton steps on the convex dual of exponential tilting; masks at 1 are fixed and the rest solved again.
 4. Expected counts of masks are rounded to whole numbers with the floors kept, and units are drawn with
    those probabilities by the pivotal method: two undecided units of a mask fight, one gets all of their
-   common probability or gives up all of its own. It is played in salted blocks; each leaves at most one
-   undecided unit a mask, and those play on.
+   common probability or gives up all of its own. A mask of a run with more than a block of units is played in
+   salted blocks; each leaves at most one undecided unit, and those play on.
 """
 
 from __future__ import annotations
@@ -21,10 +24,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.functions.tables import checkpoint, table
+from quillrank.functions.tables import checkpoint, table, task_count
 
 SAMPLE_SIZE = 100
-MAX_STRATA = 48
 BLOCK_UNITS = 20_000
 SEED = 42
 
@@ -38,12 +40,13 @@ def folded_stratum(label: Column) -> Column:
 def label_units(labels: DataFrame, strata: list[str]) -> DataFrame:
     """(run_id, candidate_id, mask): each candidate of a run once, with the strata it is labelled with.
 
-    Bit k of ``mask`` stands for ``strata[k]``; unknown and missing strata set no bit. Rows without a run or
-    a candidate are left out. Repeated labels count once; a hot candidate is combined before the shuffle.
+    ``mask`` has the numbers of its ``strata`` in order, joined by commas; unknown and missing strata add none.
+    Rows without a run or a candidate are left out. Repeated labels count once; a hot candidate is combined
+    before the shuffle.
     """
-    bit = F.coalesce(*(F.when(folded_stratum(F.col("stratum")) == s, F.lit(1 << k).cast("bigint")) for k, s in enumerate(strata)), F.lit(0).cast("bigint"))
+    number = F.coalesce(*(F.when(folded_stratum(F.col("stratum")) == s, F.lit(k)) for k, s in enumerate(strata)), F.lit(None).cast("int"))
     known = labels.where(F.col("run_id").isNotNull() & F.col("candidate_id").isNotNull())
-    return known.select("run_id", "candidate_id", bit.alias("_bit")).groupBy("run_id", "candidate_id").agg(F.bit_or("_bit").alias("mask"))
+    return known.select("run_id", "candidate_id", number.alias("_k")).groupBy("run_id", "candidate_id").agg(F.array_join(F.sort_array(F.collect_set("_k")).cast("array<string>"), ",").alias("mask"))
 
 
 def wanted_counts(available: np.ndarray, shares: np.ndarray, floors: np.ndarray, size: int) -> np.ndarray:
@@ -61,41 +64,39 @@ def wanted_counts(available: np.ndarray, shares: np.ndarray, floors: np.ndarray,
     return want
 
 
-def tilt(x: np.ndarray, units: np.ndarray, want: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Probabilities of the masks ``x`` (0/1 rows), at most 1, whose moments are as near to ``want`` as can be.
+def tilt(x: np.ndarray, units: np.ndarray, want: np.ndarray, steps: int = 100) -> np.ndarray:
+    """Probabilities min(1, exp(x . lam)) of the masks ``x`` (0/1 rows) whose moments are as near to ``want`` as can be.
 
-    Minimises sum(units * exp(x . lam)) - want . lam by damped Newton steps; masks that reach 1 are fixed
-    there and taken off the wanted moments.
+    Damped Newton steps on the convex dual sum(units * f(x . lam)) - want . lam, where f is exp below 0 and goes on
+    straight above it, so that its slope is the probability. A stratum all of whose masks are at 1 and that still
+    is short of its target is out of reach: its own unknown would grow for ever and is left where it is.
     """
-    p = np.zeros(len(x))
-    free = units > 0
-    for _ in range(len(x) + 1):
-        target = want - (units * p * ~free) @ x
-        xs, us = x[free], units[free]
-        if not len(xs):
+    lam = np.full(x.shape[1], np.log(min(1.0, max(want.sum(), 1e-9) / max(units.sum(), 1.0))) / max(1.0, x.sum(1).mean()))
+    value = lambda v: float(units @ np.where((q := x @ v) < 0, np.exp(np.minimum(q, 0)), 1 + q) - want @ v)
+    now = value(lam)
+    for _ in range(steps):
+        q = x @ lam
+        p = np.exp(np.minimum(q, 0))
+        gradient = (units * p) @ x - want
+        below = ((q < -1e-12) & (units > 0)) @ x > 0
+        moving = (np.abs(gradient) > 1e-7) & (below | (gradient > 0))
+        if not moving.any():
             break
-        lam = np.full(x.shape[1], np.log(max(want.sum(), 1e-9) / max(us.sum(), 1.0)) / max(1.0, xs.sum(1).mean()))
-        value = lambda v: float(us @ np.exp(np.minimum(xs @ v, 50))) - float(target @ v) + 1e-9 * float(v @ v)  # noqa: B023, E731
-        for _ in range(steps):
-            w = us * np.exp(np.minimum(xs @ lam, 50))
-            gradient = w @ xs - target + 2e-9 * lam
-            if np.abs(gradient).max() < 1e-7:
+        xs = x[:, moving]
+        w = units * np.where(q < 0, p, 1e-2)
+        step = np.linalg.solve((xs * w[:, None]).T @ xs + 1e-7 * np.eye(xs.shape[1]), gradient[moving])
+        step *= min(1.0, 8.0 / max(np.abs(step).max(), 1e-12))
+        t = 1.0
+        while t > 1e-6:
+            tried = lam.copy()
+            tried[moving] -= t * step
+            if (then := value(tried)) <= now:
                 break
-            hessian = (xs * w[:, None]).T @ xs + 1e-7 * np.eye(x.shape[1])
-            step = np.linalg.solve(hessian, gradient)
-            step *= min(1.0, 8.0 / max(np.abs(step).max(), 1e-12))
-            t, now = 1.0, value(lam)
-            while t > 1e-4 and value(lam - t * step) > now:
-                t /= 2
-            lam = lam - t * step
-        q = np.exp(np.minimum(xs @ lam, 50))
-        index = np.flatnonzero(free)
-        p[index] = np.minimum(q, 1.0)
-        over = index[q > 1 + 1e-9]
-        if not len(over):
+            t /= 2
+        else:
             break
-        free[over] = False
-    return p
+        lam, now = tried, then
+    return np.where(units > 0, np.exp(np.minimum(x @ lam, 0)), 0.0)
 
 
 def whole_counts(x: np.ndarray, units: np.ndarray, expected: np.ndarray, least: np.ndarray, size: int) -> np.ndarray:
@@ -127,11 +128,14 @@ def _calibrator(strata: list[str], shares: list[float], floors: list[int], size:
     required = np.maximum(f, np.floor(s * size + 0.5 + 1e-9)).astype(int)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        masks = pdf["mask"].to_numpy(dtype=np.int64)
+        masks = pdf["mask"].tolist()
         units = pdf["n_units"].to_numpy(dtype=float)
-        x = ((masks[:, None] >> np.arange(len(strata))) & 1).astype(float)
+        x = np.zeros((len(masks), len(strata)))
+        for i, mask in enumerate(masks):
+            x[i, [int(k) for k in mask.split(",") if k]] = 1.0
         available = (units @ x).astype(int)
-        known = masks > 0
+        known = x.any(axis=1)
+        reached = (tilt(x[known], units[known], required.astype(float)) * units[known]) @ x[known]
         want = wanted_counts(available, s, f, size)
         drawn = np.zeros(len(masks), dtype=int)
         if known.any():
@@ -143,21 +147,22 @@ def _calibrator(strata: list[str], shares: list[float], floors: list[int], size:
             drawn[known] = whole_counts(x[known], units[known], expected, np.minimum(f, available), size)
         got = (drawn @ x).astype(int)
         run_id = pdf["run_id"].iloc[0]
-        by_mask = pd.DataFrame({"run_id": run_id, "mask": masks, "stratum": None, "n_units": units.astype(int), "n_drawn": drawn, "required": 0, "wanted": 0.0})
-        by_stratum = pd.DataFrame({"run_id": run_id, "mask": -1, "stratum": strata, "n_units": available, "n_drawn": got, "required": required, "wanted": want})
+        by_mask = pd.DataFrame({"run_id": run_id, "mask": masks, "stratum": None, "n_units": units.astype(int), "n_drawn": drawn, "required": 0, "wanted": 0.0, "reached": 0.0})
+        by_stratum = pd.DataFrame({"run_id": run_id, "mask": None, "stratum": strata, "n_units": available, "n_drawn": got, "required": required, "wanted": want, "reached": reached})
         return pd.concat([by_mask, by_stratum], ignore_index=True)
 
     return run
 
 
 def calibrate(units: DataFrame, strata: list[str], shares: list[float], floors: list[int], size: int = SAMPLE_SIZE) -> DataFrame:
-    """For each run its masks (units and whole numbers to draw) and, under mask -1, its strata.
+    """For each run its masks (units and whole numbers to draw) and, under a null mask, its strata.
 
-    A run is one group of at most 2**strata rows however many labels it has.
+    A run is one group of as many rows as there are different sets of strata, however many labels it has.
     """
     moments = units.groupBy("run_id", "mask").agg(F.count(F.lit(1)).alias("n_units"))
     kind = dict(units.dtypes)["run_id"]
-    return moments.groupBy("run_id").applyInPandas(_calibrator(strata, shares, floors, size), f"run_id {kind}, mask bigint, stratum string, n_units bigint, n_drawn bigint, required bigint, wanted double")
+    # Few bytes, much work: the number of tasks is stated, as by size all would be one.
+    return moments.repartition(task_count(units.sparkSession), "run_id").groupBy("run_id").applyInPandas(_calibrator(strata, shares, floors, size), f"run_id {kind}, mask string, stratum string, n_units bigint, n_drawn bigint, required bigint, wanted double, reached double")
 
 
 def pivotal(p: np.ndarray, order: np.ndarray, chance: np.ndarray) -> np.ndarray:
@@ -198,26 +203,31 @@ def _uniform(*parts: object) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / float(1 << 40)).cast("double")
 
 
-def draw(units: DataFrame, plan: DataFrame, n_units: int, seed: int = SEED) -> DataFrame:
+def salted(units: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """The units of the masks that are drawn from, with probability, random numbers and block.
+
+    Blocks are of the units of one run and mask; so a run's sample depends on that run alone, and a mask of less
+    than a block is whole.
+    """
+    masks = plan.where("mask is not null and n_drawn > 0").select("run_id", "mask", (F.col("n_drawn") / F.col("n_units")).alias("p"), F.ceil(F.col("n_units") / BLOCK_UNITS).alias("_blocks"))
+    return units.join(masks, ["run_id", "mask"]).select("run_id", "candidate_id", "mask", "p", _uniform("candidate_id", "run_id", F.lit(seed)).alias("_u"), _uniform("candidate_id", "run_id", F.lit(seed + 1)).alias("_v"), F.pmod(F.xxhash64("candidate_id", F.lit(seed + 2)), F.col("_blocks")).cast("int").alias("_salt"))
+
+
+def draw(units: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     """(run_id, candidate_id, mask) of the sample, by the pivotal method in salted blocks, then among what they left."""
-    masks = plan.where("mask >= 0").select("run_id", "mask", (F.col("n_drawn") / F.col("n_units")).alias("p"))
-    blocks = max(1, -(-n_units // BLOCK_UNITS))
-    with_p = units.join(masks.where("p > 0"), ["run_id", "mask"])
-    salted = with_p.select("run_id", "candidate_id", "mask", "p", _uniform("candidate_id", "run_id", F.lit(seed)).alias("_u"), _uniform("candidate_id", "run_id", F.lit(seed + 1)).alias("_v"), F.pmod(F.xxhash64("candidate_id", F.lit(seed + 2)), F.lit(blocks)).cast("int").alias("_salt"))
-    schema = salted.schema
-    # A run of fewer units than a block still goes to one task a salt; runs are spread over tasks by their id.
-    first = checkpoint(salted.groupBy("run_id", "_salt").applyInPandas(_fight, schema))
+    rows = salted(units, plan, seed)
+    # Blocks of the same number of all masks of a run make one group: masks of less than a block are all in block 0.
+    first = checkpoint(rows.groupBy("run_id", "_salt").applyInPandas(_fight, rows.schema))
     # Sums of whole masks are whole, so the last round leaves no unit undecided but for rounding.
     undecided = first.where("p > 1e-9 and p < 1 - 1e-9")
-    last = undecided.groupBy("run_id").applyInPandas(_fight, schema)
+    last = undecided.groupBy("run_id", "mask").applyInPandas(_fight, rows.schema)
     won = first.where("p >= 1 - 1e-9").unionByName(last.where("p >= 0.5"))
     return won.select("run_id", "candidate_id", "mask")
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[float], list[int]]:
-    rows = table(spark, sf_dir, "stratum_targets").select(folded_stratum(F.col("stratum")).alias("s"), "target_share", "min_rows").orderBy("s").limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
+    """The strata: as many as the dual has unknowns, so they go to the driver as the program's parameters do."""
+    rows = table(spark, sf_dir, "stratum_targets").select(folded_stratum(F.col("stratum")).alias("s"), "target_share", "min_rows").orderBy("s").collect()
     return [r["s"] for r in rows], [r["target_share"] for r in rows], [r["min_rows"] for r in rows]
 
 
@@ -228,22 +238,45 @@ def run_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strata of a run that have fewer candidates than the calibration needs for the target and the floor."""
+    """Strata of a run whose target or floor the calibration leaves out of reach; candidates there are confirm it."""
     _, plan = run_plan(spark, sf_dir)
-    return plan.where("mask = -1 and n_units < required").select("run_id", "stratum")
+    return plan.where("mask is null and reached < required - 0.001 and n_units < required").select("run_id", "stratum")
 
 
 def p4_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each run and stratum: candidates there are, needed, aimed at and drawn."""
     _, plan = run_plan(spark, sf_dir)
-    return plan.where("mask = -1").select("run_id", "stratum", F.col("n_units").alias("n_available"), "required", F.round("wanted", 6).alias("wanted"), "n_drawn")
+    return plan.where("mask is null").select("run_id", "stratum", F.col("n_units").alias("n_available"), "required", F.round("wanted", 6).alias("wanted"), "n_drawn")
 
 
-def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample: 100 distinct candidates a run, or all labelled ones where there are fewer."""
+def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, plan = run_plan(spark, sf_dir)
-    return draw(units, plan, table(spark, sf_dir, "label_results").count()).select("run_id", "candidate_id", F.bit_count("mask").alias("n_strata"))
+    return draw(units, checkpoint(plan))
+
 
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample: 100 distinct candidates a run, or all labelled ones where there are fewer."""
+    return _sample(spark, sf_dir).select("run_id", "candidate_id", F.size(F.split("mask", ",")).alias("n_strata"))
+
+
+def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each run: candidates drawn, those drawn twice, and strata drawn below what floor and run allow."""
+    strata, _, floors = _targets(spark, sf_dir)
+    drawn = checkpoint(_sample(spark, sf_dir))
+    size = drawn.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_drawn"), (F.count(F.lit(1)) - F.countDistinct("candidate_id")).alias("n_twice"))
+    got = drawn.select("run_id", F.explode(F.split("mask", ",").cast("array<int>")).alias("_k")).groupBy("run_id", "_k").agg(F.count(F.lit(1)).alias("_got"))
+    units = label_units(table(spark, sf_dir, "label_results"), strata).where("mask <> ''")
+    there = units.select("run_id", F.explode(F.split("mask", ",").cast("array<int>")).alias("_k")).groupBy("run_id", "_k").agg(F.count(F.lit(1)).alias("_there"))
+    floor = F.array(*map(F.lit, floors))[F.col("_k")]
+    short = there.join(got, ["run_id", "_k"], "left").groupBy("run_id").agg(F.sum((F.coalesce("_got", F.lit(0)) < F.least("_there", floor)).cast("bigint")).alias("n_below_floor"))
+    return short.join(size, "run_id", "left").select("run_id", F.coalesce("n_drawn", F.lit(0)).alias("n_drawn"), F.coalesce("n_twice", F.lit(0)).alias("n_twice"), "n_below_floor")
+
+
+P4_CHECKS_SQL = """
+WITH folded AS (SELECT run_id, candidate_id, trim(regexp_replace(lower(stratum), '[^a-z0-9]+', '_', 'g'), '_') AS stratum FROM label_results WHERE run_id IS NOT NULL AND candidate_id IS NOT NULL)
+SELECT run_id, least(100, count(DISTINCT candidate_id)) AS n_drawn, CAST(0 AS BIGINT) AS n_twice, CAST(0 AS BIGINT) AS n_below_floor
+FROM folded WHERE stratum IN (SELECT stratum FROM stratum_targets) GROUP BY 1
+"""
 
 P4_FOUND_SQL = """
 WITH folded AS (
