@@ -1,14 +1,21 @@
 """p9: filling containers of fixed capacity, best fit with conflicts.
 
 Items go in by size, largest first (those that conflict with most others before all), into the open container
-with the least room left that still holds them and has no conflict. Containers are kept ordered by room left; each carries two bitmaps, of the duplicate
-clusters and of the sources inside. A container that holds a copy of the item's text is in conflict, so the
-search goes on to its successors until the tightest one without is found, or a new one is opened. Among
-containers with equal room one without the item's source comes first.
-
-Items are packed in blocks by a hash of their key, about ``BLOCK_ITEMS`` to a block, so the work spreads
-however many there are; what blocks lose is one badly filled container each. Copies of one text are equally
-large and go in together: one pass over the ordered containers serves all of a block's copies.
+with the least room left that still holds them and is in no conflict with them. Containers are kept ordered by
+room left; each carries two bitmaps: of the texts with copies that are inside, and of the sources that have had
+their part of it. The search starts at the tightest container that holds the item and goes on to its successors
+until one is in no conflict; there is no bound on it, and where none is left a container is opened. An item that
+not even an empty container holds is cut: full containers, and a rest that is an item again.
+
+* A text goes into a container once (copies in more number than there are containers are spread evenly).
+* A source has had its part of a container once its items there reach ``SOURCE_PART`` of the capacity, or one and
+  a half times its part of all tokens where that is more (else a source with most of the tokens could not be
+  placed without empty room). Unknown sources have no part.
+
+Items are packed in blocks by a hash of their key, about ``BLOCK_ITEMS`` to a block, so the work spreads however
+many there are; the containers that a block leaves open (filled below ``CLOSED``) are emptied and their items
+packed in a second round with those of the other blocks. So above one block "tightest" is of the containers of a
+block. Copies of one text are equally large and go in together.
 """
 
 from __future__ import annotations
@@ -20,70 +27,77 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.functions.tables import table
+from quillrank.functions.tables import checkpoint, table
 from quillrank.llm.encoding import encode_table
 
 BLOCK_ITEMS = 20_000
-MAX_WINDOWS = 64
+SOURCE_PART, CLOSED = 0.5, 0.98
 
 
-def pack(sizes: list[int], clusters: list[int], sources: list[int], capacity: int) -> list[int]:
-    """The container number of each item; every size is from 1 to ``capacity``.
+def source_limits(sizes: list[int], sources: list[int], capacity: int) -> dict[int, int]:
+    """Tokens of a container after which a source has had its part of it."""
+    tokens: Counter = Counter()
+    for n, s in zip(sizes, sources):
+        tokens[s] += n
+    every = max(1, sum(tokens.values()))
+    return {s: max(1, int(capacity * min(1.0, max(SOURCE_PART, 1.5 * n / every)))) for s, n in tokens.items()}
+
+
+def pack(sizes: list[int], clusters: list[int], sources: list[int], capacity: int) -> list[tuple[int, int, int, int]]:
+    """(item, part, tokens, container) of every part; sizes are at least 1.
 
     Cluster -1 and source -1 (unknown) conflict with nothing.
     """
+    parts: list[tuple[int, int, int, int]] = []
+    opened = 0
+    rest: list[tuple[int, int, int]] = []
+    for i, n in enumerate(sizes):
+        part = 0
+        while n > capacity:
+            # Not even an empty container holds it.
+            parts.append((i, part, capacity, opened))
+            opened, part, n = opened + 1, part + 1, n - capacity
+        rest.append((i, part, n))
+    limits = source_limits([n for _, _, n in rest], sources, capacity)
     copies = Counter(c for c in clusters if c >= 0)
-    repeated = set(copies)
     # Texts with copies for many of the containers needed go in first, while there is room in all of them.
-    spread = max(2, -(-sum(sizes) // capacity) // 16)
-    order = sorted(range(len(sizes)), key=lambda i: (-copies[clusters[i]] if copies[clusters[i]] > spread else 0, -sizes[i], clusters[i], i))
-    placed = [-1] * len(sizes)
+    many = max(2, -(-sum(n for _, _, n in rest) // capacity) // 16)
+    rest.sort(key=lambda x: (-copies[clusters[x[0]]] if copies[clusters[x[0]]] > many else 0, -x[2], clusters[x[0]], x[0]))
     room: list[tuple[int, int]] = []
-    held_clusters: list[int] = []
-    held_sources: list[int] = []
+    held_clusters: dict[int, int] = {}
+    had_sources: dict[int, int] = {}
+    of_source: dict[tuple[int, int], int] = {}
     at = 0
-    while at < len(order):
-        first = order[at]
-        size, cluster = sizes[first], clusters[first]
+    while at < len(rest):
+        size, cluster = rest[at][2], clusters[rest[at][0]]
         until = at + 1
-        if cluster in repeated:
-            while until < len(order) and sizes[order[until]] == size and clusters[order[until]] == cluster:
-                until += 1
-        bit = 1 << cluster if cluster >= 0 else 0
-        waiting = order[at:until]
+        while cluster >= 0 and until < len(rest) and rest[until][2] == size and clusters[rest[until][0]] == cluster:
+            until += 1
+        bit = 1 << cluster if cluster >= 0 and copies[cluster] > 1 else 0
         taken: list[tuple[int, int]] = []
-        k = bisect_left(room, (size, -1))
-        while waiting and k < len(room):
-            if held_clusters[room[k][1]] & bit:
+        for i, part, _ in rest[at:until]:
+            source = sources[i]
+            own = 1 << source if source >= 0 else 0
+            k = bisect_left(room, (size, -1))
+            while k < len(room) and (held_clusters[room[k][1]] & bit or had_sources[room[k][1]] & own):
                 k += 1
-                continue
-            source = 1 << sources[waiting[0]] if sources[waiting[0]] >= 0 else 0
-            best = k
-            if source:
-                same = k
-                # Of equally tight containers the first without this source; a bounded look, as it is only a preference.
-                while same < len(room) and same < k + 16 and room[same][0] == room[k][0]:
-                    if not (held_sources[room[same][1]] & source or held_clusters[room[same][1]] & bit):
-                        best = same
-                        break
-                    same += 1
-            left, bin_no = room.pop(best)
-            i = waiting.pop(0) if len(waiting) < 64 else waiting.pop()
-            placed[i] = bin_no
+            if k < len(room):
+                left, bin_no = room.pop(k)
+            else:
+                left, bin_no, opened = capacity, opened, opened + 1
+                held_clusters[bin_no] = had_sources[bin_no] = 0
+            parts.append((i, part, size, bin_no))
             held_clusters[bin_no] |= bit
-            held_sources[bin_no] |= source
+            if own:
+                of_source[bin_no, source] = of_source.get((bin_no, source), 0) + size
+                if of_source[bin_no, source] >= limits[source]:
+                    had_sources[bin_no] |= own
             taken.append((left - size, bin_no))
-        for i in waiting:
-            bin_no = len(held_clusters)
-            held_clusters.append(bit)
-            held_sources.append(1 << sources[i] if sources[i] >= 0 else 0)
-            placed[i] = bin_no
-            taken.append((capacity - size, bin_no))
         for left, bin_no in taken:
             if left:
                 insort(room, (left, bin_no))
         at = until
-    return placed
+    return parts
 
 
 def _apart(clusters: list[int], containers: int) -> list[int]:
@@ -104,32 +118,26 @@ def _apart(clusters: list[int], containers: int) -> list[int]:
     return out
 
 
-def _block_packer(windows: list[tuple[int, int]], key: str):
+def _block_packer(capacities: dict[int, int], key: str, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["_block"].iloc[0])
-        keys, sizes = pdf[key].tolist(), pdf["n_tokens"].tolist()
+        window, block = int(pdf["window_id"].iloc[0]), int(pdf["_block"].iloc[0])
+        capacity = capacities[window]
+        pdf = pdf.sort_values(key, ignore_index=True, kind="stable")
+        none = pdf[pdf["n_tokens"] == 0]
+        pdf = pdf[pdf["n_tokens"] > 0].reset_index(drop=True)
         times = pdf["_cluster"].value_counts()
         number = {c: k for k, c in enumerate(times[times > 1].index)}
         clusters = [number.get(c, -1) for c in pdf["_cluster"]]
-        sources = pd.factorize(pdf["_source"])[0].tolist()
-        out: list[tuple] = []
-        for window, capacity in windows:
-            items, parts, own = [], [], 0
-            for i, n in enumerate(sizes):
-                full, rest = divmod(n, capacity) if n > capacity else (0, n)
-                for part in range(full):
-                    out.append((window, (block << 32) + own, keys[i], part, capacity))
-                    own += 1
-                if rest:
-                    items.append(i)
-                    parts.append(full)
-                elif not n:
-                    out.append((window, None, keys[i], 0, 0))
-            rests = [sizes[i] - p * capacity for i, p in zip(items, parts)]
-            apart = _apart([clusters[i] for i in items], max(1, -(-sum(rests) // capacity)))
-            for i, part, n, b in zip(items, parts, rests, pack(rests, apart, [sources[i] for i in items], capacity)):
-                out.append((window, (block << 32) + own + b, keys[i], part, n))
-        return pd.DataFrame(out, columns=["window_id", "container_id", key, "part_no", "n_tokens"]).astype({"container_id": "Int64"})
+        sources, sizes = pd.factorize(pdf["_source"])[0].tolist(), pdf["n_tokens"].tolist()
+        # Full containers of large items are no room for copies: what counts are the rests.
+        rests = sum((n - 1) % capacity + 1 for n in sizes)
+        found = pd.DataFrame(pack(sizes, _apart(clusters, max(1, -(-rests // capacity))), sources, capacity), columns=["_i", "_part", "_n", "_c"])
+        used = found.groupby("_c")["_n"].transform("sum")
+        out = pdf.iloc[found["_i"]].reset_index(drop=True)
+        # A part of an item that is packed again keeps its number.
+        out = out.assign(part_no=out["part_no"] + found["_part"], n_tokens=found["_n"], container_id=(block << 32) + found["_c"] + (0 if not last else 1 << 31), _open=(used < CLOSED * capacity) & (not last))
+        out = pd.concat([out, none.assign(container_id=pd.NA, _open=False)], ignore_index=True)
+        return out.astype({"container_id": "Int64"})[["window_id", "container_id", key, "part_no", "n_tokens", "_cluster", "_source", "_open"]]
 
     return run
 
@@ -142,17 +150,34 @@ def fill_containers(items: DataFrame, windows: list[tuple[int, int]], n_items: i
     cut. Items of no tokens take no room: container_id is null. Null sources conflict with nothing; repeated
     keys are items of their own.
     """
-    if len(windows) > MAX_WINDOWS or any(c < 1 for _, c in windows):
-        raise ValueError(f"at most {MAX_WINDOWS} windows, each of at least one token")
-    blocks = max(1, -(-n_items // BLOCK_ITEMS))
-    spread = items.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    kind = dict(items.dtypes)[key]
-    return spread.groupBy("_block").applyInPandas(_block_packer(windows, key), f"window_id int, container_id bigint, `{key}` {kind}, part_no int, n_tokens int")
+    if any(c < 1 for _, c in windows):
+        raise ValueError("a window holds at least one token")
+    kinds = dict(items.dtypes)
+    schema = f"window_id int, container_id bigint, `{key}` {kinds[key]}, part_no int, n_tokens int, _cluster bigint, _source string, _open boolean"
+    each = F.explode(F.array(*(F.lit(w).cast("int") for w, _ in windows))) if windows else F.explode(F.array().cast("array<int>"))
+    every = items.select(each.alias("window_id"), key, F.lit(0).alias("part_no"), F.col("n_tokens").cast("int").alias("n_tokens"), "_cluster", F.col("_source").cast("string").alias("_source"))
+    capacities = dict(windows)
 
+    def packed(rows: DataFrame, blocks, last: bool) -> DataFrame:
+        return rows.withColumn("_block", F.pmod(F.xxhash64(key, F.lit(int(last))), blocks).cast("int")).groupBy("window_id", "_block").applyInPandas(_block_packer(capacities, key, last), schema)
 
-def document_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = max(1, -(-n_items // BLOCK_ITEMS))
+    out = ["window_id", "container_id", key, "part_no", "n_tokens"]
+    if blocks == 1:
+        return packed(every, F.lit(1), True).select(*out)
+    first = checkpoint(packed(every, F.lit(blocks), False))
+    # One row a window comes to the driver.
+    left = {r["window_id"]: max(1, -(-r["n"] // BLOCK_ITEMS)) for r in first.where("_open").groupBy("window_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    again = F.coalesce(*(F.when(F.col("window_id") == w, F.lit(n)) for w, n in left.items()), F.lit(1))
+    second = packed(first.where("_open").select("window_id", key, "part_no", "n_tokens", "_cluster", "_source"), again, True)
+    return first.where("not _open").select(*out).unionByName(second.select(*out))
+
+
+def document_containers(spark: SparkSession, sf_dir: str, window_name: str | None = None) -> DataFrame:
+    """The containers of the documents for every window, or for one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    windows = [(r["window_id"], r["capacity_tokens"]) for r in table(spark, sf_dir, "context_windows").limit(MAX_WINDOWS + 1).collect()]
+    wanted = table(spark, sf_dir, "context_windows").where(F.lit(window_name is None) | (F.col("window_name") == window_name))
+    windows = [(r["window_id"], r["capacity_tokens"]) for r in wanted.collect()]
     folded = F.regexp_replace(F.lower(F.trim("text")), r"\s+", " ")
     sized = encode_table(docs.withColumn("_key", F.struct("doc_id", F.xxhash64(folded).alias("_cluster"), F.col("source").alias("_source"))), key="_key", counts=True)
     items = sized.select("_key.doc_id", "_key._cluster", "_key._source", "n_tokens")
@@ -161,9 +186,7 @@ def document_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the packing had to cut for the window ``teacher_prompt``; empty tables give none."""
-    window = table(spark, sf_dir, "context_windows").where("window_name = 'teacher_prompt'").select("window_id")
-    cut = document_containers(spark, sf_dir).where("part_no = 1").join(F.broadcast(window), "window_id", "left_semi")
-    return cut.select("doc_id")
+    return document_containers(spark, sf_dir, "teacher_prompt").where("part_no = 1").select("doc_id")
 
 
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,3 +194,19 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = table(spark, sf_dir, "context_windows").select("window_id", "window_name", "capacity_tokens")
     used = document_containers(spark, sf_dir).where("container_id is not null").groupBy("window_id").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
     return used.join(F.broadcast(capacity), "window_id").select("window_name", "n_containers", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("fill"))
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each window: documents placed or empty, and what must not be: containers too full, documents cut though
+    they fit, parts not full though others follow, sources with a whole item above their part."""
+    capacity = table(spark, sf_dir, "context_windows").select("window_id", "window_name", "capacity_tokens")
+    parts = checkpoint(document_containers(spark, sf_dir)).join(F.broadcast(capacity), "window_id")
+    docs = parts.groupBy("window_id", "window_name", "doc_id").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("part_no").alias("d"), F.max("part_no").alias("m"), F.sum("n_tokens").alias("n"), F.max("capacity_tokens").alias("c"), F.sum((F.col("n_tokens") == F.col("capacity_tokens")).cast("int")).alias("full"))
+    docs = docs.groupBy("window_id", "window_name").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(((F.col("k") > 1) & (F.col("n") <= F.col("c"))).cast("bigint")).alias("n_cut_though_fit"), F.sum(((F.col("k") != F.col("d")) | (F.col("m") + 1 != F.col("k")) | (F.col("full") < F.col("k") - 1)).cast("bigint")).alias("n_bad_parts"))
+    bins = parts.where("container_id is not null").groupBy("window_id", "container_id").agg((F.sum("n_tokens") > F.max("capacity_tokens")).cast("bigint").alias("o")).groupBy("window_id").agg(F.sum("o").alias("n_overfull"))
+    return docs.join(bins, "window_id").select("window_name", "n_documents", "n_cut_though_fit", "n_bad_parts", "n_overfull")
+
+
+P9_CHECKS_SQL = """
+SELECT window_name, (SELECT count(*) FROM documents) AS n_documents, CAST(0 AS BIGINT) AS n_cut_though_fit, CAST(0 AS BIGINT) AS n_bad_parts, CAST(0 AS BIGINT) AS n_overfull FROM context_windows
+"""
