@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.functions.tables import table, task_count
+from quillrank.functions.tables import checkpoint, table, task_count
 from quillrank.llm.spellings import LEGAL, PLACES, _squeezed, folded, kind_word, tokens
 from quillrank.llm.tries import Trie
 
@@ -34,7 +34,6 @@ ALIKE, RUN_ALIKE = 0.93, 0.85
 SHORT = {
     "current_title": {"sr": "senior", "snr": "senior", "senr": "senior", "jr": "junior", "engg": "engineer", "engr": "engineer", "eng": "engineer", "er": "engineer", "mgr": "manager", "mngr": "manager", "mgmt": "management", "dev": "developer", "devt": "development", "devpt": "development", "tech": "technical", "rep": "representative", "reps": "representative", "sci": "scientist", "exec": "executive", "archt": "architect", "arch": "architect", "sec": "security", "infra": "infrastructure", "ops": "operations", "acct": "accountant", "accts": "accounts", "mech": "mechanical", "elec": "electrical", "elect": "electrical", "admn": "administrator", "admin": "administrator", "spec": "specialist", "acq": "acquisition", "appln": "application", "app": "application", "apps": "application", "programme": "program", "pgm": "program", "prog": "program", "db": "database", "supp": "support", "qa": "quality assurance", "hr": "human resources", "ml": "machine learning", "nlp": "natural language processing", "sre": "site reliability engineer", "dba": "database administrator", "ta": "talent acquisition", "fe": "frontend", "be": "backend", "cv": "computer vision", "mktg": "marketing", "dsgn": "design", "maint": "maintenance", "fin": "financial", "dir": "director", "asst": "assistant"},
     "industry": {"tech": "technology", "svcs": "services", "svc": "services", "srvcs": "services", "mfg": "manufacturing", "govt": "government", "gov": "government", "admin": "administration", "fin": "financial", "ed": "education", "edu": "education", "pharma": "pharmaceuticals", "hr": "human resources", "mgmt": "management", "it": "information technology", "info": "information", "sw": "software", "telecom": "telecommunications", "telecoms": "telecommunications", "telco": "telecommunications", "comm": "commerce", "auto": "automotive", "warehouse": "warehousing", "logistic": "logistics", "agri": "agri", "defense": "defence", "elec": "electronics", "edtech": "education technology", "fintech": "financial technology"},
-    "company": {},
 }
 # Remarks on contract, place, status and legal form.
 NO_WEIGHT = {
@@ -43,6 +42,13 @@ NO_WEIGHT = {
     "company": ["office", "campus", "branch", "hq", "headquarters", "of", "and", "the", "at", "in", *LEGAL, "p", *PLACES],
 }
 
+# Words without weight in a field that has no list of its own (cities, brands, anything else).
+NO_WEIGHT_ELSEWHERE = ["of", "and", "the", "a", "an", *LEGAL]
+#: Matches that are broadcast at most, and rows of one value that meet in one task beyond that.
+FEW_VALUES, ROWS_OF_A_VALUE = 200_000, 100_000
+#: Values cut into parts at most, as their list is broadcast; any further ones are left to the planner's skew handling.
+MAX_HOT = 100_000
+
 
 def _most(n: int) -> int:
     return 0 if n < 3 else 1 if n < 5 else 2 if n < 10 else 3
@@ -53,6 +59,7 @@ class Reference:
 
     def __init__(self, field: str, entries: list[tuple[int, str]]):
         self.field = field
+        self.short, self.skip = SHORT.get(field, {}), NO_WEIGHT.get(field, NO_WEIGHT_ELSEWHERE)
         self.words = {ref: self._own(label) for ref, label in entries}
         n_with: dict[str, int] = {}
         for ws in self.words.values():
@@ -81,8 +88,8 @@ class Reference:
                     heads.setdefault("".join(proper[k:] + proper[:k]), []).append(ref)
         # A company named without its line of business is that entry if there is one of that name only.
         self.heads = {run: refs[0] for run, refs in heads.items() if len(set(refs)) == 1}
-        self.short_trie = Trie(w for w in SHORT[field] if len(w) >= 4)
-        self.remark_trie = Trie(w for w in NO_WEIGHT[field] if len(w) >= 5)
+        self.short_trie = Trie(w for w in self.short if len(w) >= 4)
+        self.remark_trie = Trie(w for w in self.skip if len(w) >= 5)
         self.run_trie = Trie(self.runs)
         self.head_trie = Trie(self.heads)
         self.repair = lru_cache(1 << 18)(self._repair)
@@ -91,7 +98,7 @@ class Reference:
         return kind_word(token, "company") if self.field == "company" else None
 
     def _own(self, label: str) -> list[str]:
-        skip = NO_WEIGHT[self.field]
+        skip = self.skip
         found = [self._kind(t) or t for t in tokens(label)]
         return [t for t in found if t not in skip] or found
 
@@ -99,7 +106,7 @@ class Reference:
         """What a token may stand for: alternatives of (vocabulary words, likeness); none if nothing is near."""
         if token in self.weight:
             return (((token,), 1.0),)
-        short = SHORT[self.field].get(token)
+        short = self.short.get(token)
         if short:
             return ((tuple(short.split()), 1.0),)
         kind = self._kind(token)
@@ -114,7 +121,7 @@ class Reference:
         if cut:
             return tuple(((w,), 0.95) for w in cut)
         close = sorted((d, w) for w, d in self.short_trie.near(token, 1) if w[0] == token[0]) if n >= 3 else []
-        return tuple((tuple(SHORT[self.field][w].split()), 0.95) for _, w in close[:1])
+        return tuple((tuple(self.short[w].split()), 0.95) for _, w in close[:1])
 
     def match(self, value: str) -> int:
         """The entry a value means, 0 if none."""
@@ -130,7 +137,7 @@ class Reference:
         if self.field == "company" and 2 <= len(letters) <= 6 and (letters.isupper() and " " not in text.strip()):
             refs = self.initials.get(letters.lower(), [])
             return refs[0] if len(refs) == 1 else 0
-        skip = NO_WEIGHT[self.field]
+        skip = self.skip
         found = [t for t in tokens(text) if t not in skip and (len(t) > 1 or t in self.weight)]
         if not found:
             return 0
@@ -155,7 +162,7 @@ class Reference:
         if best[0] >= ALIKE:
             return best[1]
         order = [w for t, m in meant for w in (m[0][0] if m else (t,))]
-        spelled_out = [SHORT[self.field].get(t, t).replace(" ", "") for t in found]
+        spelled_out = [self.short.get(t, t).replace(" ", "") for t in found]
         for run in dict.fromkeys(["".join(dict.fromkeys(order)), "".join(spelled_out), "".join(found)]):
             hit = self._near_run(run, self.run_trie, self.runs) or self._near_run(run, self.head_trie, self.heads)
             if hit:
@@ -182,15 +189,15 @@ def collected(reference: DataFrame) -> dict[str, list[tuple[int, str]]]:
 
 
 def matched_values(values: DataFrame, entries: dict[str, list[tuple[int, str]]]) -> DataFrame:
-    """(field_name, value, ref_id) of distinct (field_name, value); 0 where no entry is meant."""
+    """(field_name, value, n, ref_id) of distinct (field_name, value, n); 0 where no entry is meant."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = {f: Reference(f, e) for f, e in entries.items()}
         for pdf in batches:
             refs = [index[f].match(v) if f in index else 0 for f, v in zip(pdf["field_name"], pdf["value"])]
-            yield pdf.assign(ref_id=refs)[["field_name", "value", "ref_id"]]
+            yield pdf.assign(ref_id=refs)
 
-    return values.select("field_name", "value").mapInPandas(run, "field_name string, value string, ref_id int")
+    return values.select("field_name", "value", "n").mapInPandas(run, "field_name string, value string, n bigint, ref_id int")
 
 
 def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +213,21 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("record_id", F.inline(every)).where(F.col("value").rlike(r"[^\s\p{Z}]"))
 
 
+def with_matches(values: DataFrame, matches: DataFrame) -> DataFrame:
+    """``values`` with the ``ref_id`` of their (field_name, value) in ``matches``, which has ``n``, its rows.
+
+    Few distinct values are broadcast, behind a count of them. Of more, a value on many rows is met in parts.
+    """
+    keys = ["field_name", "value"]
+    if matches.count() <= FEW_VALUES:
+        return values.join(F.broadcast(matches.drop("n")), keys)
+    hot = matches.where(F.col("n") > ROWS_OF_A_VALUE).orderBy(F.desc("n")).limit(MAX_HOT).select(*keys, F.ceil(F.col("n") / ROWS_OF_A_VALUE).cast("int").alias("_parts"))
+    whole = F.coalesce("_parts", F.lit(1))
+    right = matches.drop("n").join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), whole - 1))).drop("_parts")
+    left = values.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64("record_id", "item_no"), whole).cast("int")).drop("_parts")
+    return left.join(right, [*keys, "_part"]).drop("_part")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every typed value that is not exactly a label, with the entry it means or 0.
 
@@ -215,8 +237,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     reference = table(spark, sf_dir, "canonical_values")
     entries = collected(reference)
-    labels = [label for e in entries.values() for _, label in e]
-    values = typed_values(spark, sf_dir).where(~F.col("value").isin(labels)) if len(labels) <= 1000 else typed_values(spark, sf_dir).join(reference.select(F.col("label").alias("value")), "value", "left_anti")
-    distinct = values.select("field_name", "value").distinct().repartition(task_count(spark), "value")
-    matches = matched_values(distinct, entries)
-    return values.join(matches, ["field_name", "value"]).select("record_id", "field_name", "item_no", "ref_id")
+    labels = reference.where("label is not null").select(F.col("label").alias("value")).distinct()
+    values = typed_values(spark, sf_dir).join(F.broadcast(labels), "value", "left_anti")
+    # Few bytes, much work: the number of tasks is stated, as by size all would be one.
+    distinct = checkpoint(values.groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n"))).repartition(task_count(spark), "value")
+    matches = checkpoint(matched_values(distinct, entries))
+    return with_matches(values, matches).select("record_id", "field_name", "item_no", "ref_id")
