@@ -4,8 +4,10 @@ The corpus gives every word a frequency rank. A text's coverage rank is the size
 taken from the top of that list, that covers ``COVERED`` of its words. With words per sentence and letters
 per word it makes three measures, whose mean in each band, and common mean deviation, come from the graded
 texts. A text gets the band with the least sum of deviations; absolute values keep one odd measure (a text
-without full stops) from deciding alone. Everything is declared in SQL; the list of words is only broadcast
-where it is short, which is counted first.
+without full stops) from deciding alone. Everything is declared in SQL.
+
+The ``HEAD_WORDS`` most frequent words are broadcast, which bounds their number; words behind them are looked up
+by a shuffle. So a word on every text is never a key of one, and the words that are have few rows each.
 
 The rank is counted from the number of words of each count, a table of at most sqrt(2 * words) rows, so no
 task orders the whole vocabulary. Words of one count share the last rank among them; unseen words come after
@@ -22,8 +24,8 @@ from quillrank.functions.tables import checkpoint, table
 
 COVERED = 0.9
 MIN_CHARS = 300
-#: About 20 MB; a longer list of words is joined by a shuffle.
-MAX_BROADCAST_WORDS = 200_000
+#: About 20 MB.
+HEAD_WORDS = 200_000
 MEASURES = ["coverage", "sentence", "letters"]
 MARKUP, WORD, STOP = r"<[^<>]*>", r"\p{L}+(?:'\p{L}+)?", r"[.!?;]+(\s|\p{Lu}|$)|\n+"
 
@@ -42,27 +44,42 @@ def word_ranks(texts: DataFrame) -> DataFrame:
     return counts.join(ranks, "_n").select("word", "rank", "last")
 
 
-def measured(texts: DataFrame, ranks: DataFrame, key: str, few_words: bool = False) -> DataFrame:
+def _ranked(each: DataFrame, ranks: DataFrame, n_words: int, last: int) -> DataFrame:
+    """``each`` with the rank of its ``word``; unseen words rank last."""
+    words = ranks.select("word", "rank")
+    # A rank counts the words up to it, so at most HEAD_WORDS words have one within it.
+    found = each.join(F.broadcast(words.where(F.col("rank") <= HEAD_WORDS)), "word", "left")
+    if n_words > HEAD_WORDS:
+        rare = found.where("rank is null").drop("rank").join(words.where(F.col("rank") > HEAD_WORDS), "word", "left")
+        found = found.where("rank is not null").unionByName(rare)
+    return found.withColumn("rank", F.coalesce("rank", F.lit(last)))
+
+
+def measured(texts: DataFrame, ranks: DataFrame, key: str, n_words: int, last: int) -> DataFrame:
     """``key`` and the three measures of each text that has a word; texts without one are left out."""
     stops = F.size(F.regexp_extract_all(F.regexp_replace("text", MARKUP, " "), F.lit(STOP), F.lit(0)))
     # Stops are counted once a text, below the explode.
     split = texts.where("text is not null").select(key, F.greatest(F.lit(1), stops).alias("_stops"), _words().alias("_all"))
     each = split.select(key, (F.size("_all") / F.col("_stops")).alias("_ratio"), F.explode("_all").alias("word"))
-    last = ranks.agg(F.coalesce(F.max("last"), F.lit(1)).alias("_last"))
-    words = ranks.select("word", "rank")
-    known = each.join(F.broadcast(words) if few_words else words, "word", "left").join(F.broadcast(last))
-    return known.groupBy(key).agg(
-        F.expr(f"ln(percentile_disc({COVERED}) WITHIN GROUP (ORDER BY coalesce(rank, _last)))").alias("coverage"),
+    return _ranked(each, ranks, n_words, last).groupBy(key).agg(
+        F.expr(f"ln(percentile_disc({COVERED}) WITHIN GROUP (ORDER BY rank))").alias("coverage"),
         F.expr("ln(max(_ratio))").alias("sentence"),
         F.expr("avg(length(word))").alias("letters"),
     )
 
 
-def band_model(graded: DataFrame) -> DataFrame:
-    """One row a band: its mean of each measure and the common mean deviation from them."""
-    means = graded.groupBy("band").agg(*(F.avg(m).alias(f"m_{m}") for m in MEASURES))
-    away = graded.join(F.broadcast(means), "band").agg(*(F.greatest(F.avg(F.abs(F.col(m) - F.col(f"m_{m}"))), F.lit(0.01)).alias(f"d_{m}") for m in MEASURES))
-    return means.crossJoin(F.broadcast(away))  # one row a band by one row
+def band_model(graded: DataFrame) -> F.Column:
+    """array<struct<band, means>> of all bands and the common mean deviations, as one column of fixed values.
+
+    A row a band comes to the driver; bands are the few grades of a scale.
+    """
+    graded = checkpoint(graded)
+    means = graded.groupBy("band").agg(*(F.avg(m).alias(m) for m in MEASURES))
+    away = graded.join(means.select("band", *(F.col(m).alias(f"m_{m}") for m in MEASURES)), "band").agg(*(F.greatest(F.avg(F.abs(F.col(m) - F.col(f"m_{m}"))), F.lit(0.01)).alias(m) for m in MEASURES)).head()
+    rows = [F.struct(F.lit(r["band"]).cast("int").alias("band"), *(F.lit(r[m]).alias(m) for m in MEASURES)) for r in means.orderBy("band").collect()]
+    model = F.array(*rows) if rows else F.array().cast("array<struct<band:int,coverage:double,sentence:double,letters:double>>")
+    gap = lambda k: sum((F.abs(F.col(m) - k[m]) / F.lit(away[m]) for m in MEASURES), F.lit(0.0))
+    return F.array_min(F.transform(model, lambda k: F.struct(F.round(gap(k), 9).alias("gap"), k["band"].alias("band"))))
 
 
 def reading_levels(texts: DataFrame, corpus: DataFrame, graded: DataFrame, key: str) -> DataFrame:
@@ -70,16 +87,14 @@ def reading_levels(texts: DataFrame, corpus: DataFrame, graded: DataFrame, key:
 
     A row given twice gets one band, equal texts get equal ones. Without graded texts no text gets a band.
 
-    ``graded`` has ``sample_id``, ``text`` and ``band``; bands are few and known, so its model is broadcast.
+    ``graded`` has ``sample_id``, ``text`` and ``band``; bands are few and known, so their model is fixed values
+    of the plan and each text finds its band in its own row.
     """
-    # Counted once; with few enough distinct words every task gets the list, else words meet by a shuffle.
     ranks = checkpoint(word_ranks(corpus))
-    few = ranks.count() <= MAX_BROADCAST_WORDS
-    samples = measured(graded, ranks, "sample_id", few).join(graded.select("sample_id", "band"), "sample_id")
-    model = band_model(samples)
-    gap = sum((F.abs(F.col(m) - F.col(f"m_{m}")) / F.col(f"d_{m}") for m in MEASURES), F.lit(0.0))
-    near = measured(texts, ranks, key, few).join(F.broadcast(model)).select(key, F.struct(F.round(gap, 9).alias("_gap"), "band").alias("_b"))
-    return near.groupBy(key).agg(F.min("_b").alias("_b")).select(key, F.col("_b.band").alias("band"))
+    size = ranks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("last"), F.lit(1)).alias("last")).head()
+    samples = measured(graded, ranks, "sample_id", size["n"], size["last"]).join(graded.select("sample_id", "band"), "sample_id")
+    band = band_model(samples)["band"]
+    return measured(texts, ranks, key, size["n"], size["last"]).select(key, band.alias("band")).where("band is not null")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
