@@ -99,8 +99,9 @@ def test_appends_and_edits_are_exact(data, more, at, n, by):
 def test_packing_keeps_every_rule(items):
     sizes, clusters, sources = map(list, zip(*items)) if items else ([], [], [])
     sizes = [s if c < 0 else 7 + c for s, c in zip(sizes, clusters)]
-    bins = packing.pack(sizes, clusters, sources, 50)
-    assert all(b >= 0 for b in bins)
+    parts = packing.pack(sizes, clusters, sources, 50)
+    assert sorted(p[0] for p in parts) == list(range(len(sizes))) and all(p[1] == 0 and p[2] == sizes[p[0]] for p in parts)
+    bins = [b for _, _, _, b in sorted(parts)]
     room = {}
     for b, s in zip(bins, sizes):
         room[b] = room.get(b, 0) + s
@@ -112,10 +113,41 @@ def test_packing_keeps_every_rule(items):
 def test_packing_is_tight():
     random.seed(1)
     sizes = [random.randrange(1, 400) for _ in range(3000)]
-    bins = packing.pack(sizes, [-1] * 3000, [-1] * 3000, 512)
+    bins = [p[3] for p in packing.pack(sizes, [-1] * 3000, [-1] * 3000, 512)]
     assert sum(sizes) / (512 * (max(bins) + 1)) > 0.99
 
 
+def test_sources_have_their_part_of_a_container_and_no_more():
+    random.seed(2)
+    sizes = [random.randrange(1, 60) for _ in range(2000)]
+    sources = [0 if random.random() < 0.33 else random.randrange(1, 7) for _ in sizes]
+    limits = packing.source_limits(sizes, sources, 512)
+    held, last = {}, {}
+    for i, _, n, b in packing.pack(sizes, [-1] * 2000, sources, 512):
+        assert held.get((b, sources[i]), 0) < limits[sources[i]]
+        held[b, sources[i]] = held.get((b, sources[i]), 0) + n
+        last[b] = last.get(b, 0) + n
+    assert sum(sizes) / (512 * len(last)) > 0.97
+
+
+def test_leftovers_of_blocks_are_packed_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 40)
+    random.seed(4)
+    items = [(k, random.randrange(0, 900), k % 90, f"s{k % 5}") for k in range(400)]
+    df = spark.createDataFrame(items, "doc_id bigint, n_tokens int, _cluster bigint, _source string")
+    got = packing.fill_containers(df, [(1, 256), (2, 1024)], 400).collect()
+    for w, c in ((1, 256), (2, 1024)):
+        tokens, used = {}, {}
+        for r in got:
+            if r["window_id"] == w:
+                tokens[r["doc_id"]] = tokens.get(r["doc_id"], 0) + r["n_tokens"]
+                if r["container_id"] is not None:
+                    used[r["container_id"]] = used.get(r["container_id"], 0) + r["n_tokens"]
+        assert tokens == {k: n for k, n, _, _ in items} and max(used.values()) <= c
+        assert sum(used.values()) / (c * len(used)) > 0.9
+    assert len({(r["window_id"], r["doc_id"], r["part_no"]) for r in got}) == len(got)
+
+
 def test_containers_hold_every_part_once(spark):
     from quillrank.llm.encoding import encode_table
 
