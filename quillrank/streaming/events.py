@@ -13,10 +13,17 @@ from quillrank.operators import consistency
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A table as a stream of its files."""
-    schema = spark.read.parquet(path).schema
+    """A table as a stream of its files: those of the folder ``path``, or the one file of that name.
+
+    A stream has to be of a folder, so a single file is picked by name from the one it is in. The filter sees only
+    names of files, never that of a table that is a folder of parts.
+    """
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).isDirectory(at):
+        return stream.parquet(path)
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
